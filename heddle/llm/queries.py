@@ -9,12 +9,20 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import table
 from heddle.llm.decontamination import contaminated
+from heddle.llm.mixing import mix
 from heddle.llm.simhash_dedup import near_duplicate_groups
 from heddle.llm.token_output import token_output
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    copies = F.size("draws")
+    return mix(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), F.array_join(F.col("draws.shard").cast("array<string>"), ",").alias("shards")
+    )
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
@@ -31,6 +39,6 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_decontamination, op8_simhash_dedup, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op4_decontamination, op8_simhash_dedup, op10_token_output)}
 
 ORACLES: dict[str, str] = {}
