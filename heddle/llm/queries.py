@@ -12,6 +12,7 @@ from heddle.llm.decontamination import contaminated
 from heddle.llm.mixing import mix
 from heddle.llm.simhash_dedup import near_duplicate_groups
 from heddle.llm.token_output import token_output
+from heddle.llm.toxicity import held_out, toxicity, train
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -28,6 +29,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.concat_ws(",", F.transform("offending", lambda x: x.cast("string"))).alias("offending"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicate_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -39,6 +46,6 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op4_decontamination, op8_simhash_dedup, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op4_decontamination, op5_toxicity, op8_simhash_dedup, op10_token_output)}
 
 ORACLES: dict[str, str] = {}
