@@ -1,9 +1,9 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
-Training (on the driver, from a bounded sample of labelled rows): a word is a toxic token where it occurs in a toxic
-document and its document frequency among toxic documents lies far above that among clean ones (a z-score of smoothed
-log-odds). These token labels train a two-state chain: emissions are sums of weights of hashed word features, the
-transitions are free, and gradients come from forward-backward. Document scores come from the chain's marginals by
+Training (on the driver, from a bounded sample of labelled rows): a token of a toxic document is labelled toxic where
+its word or one of its beginnings is far more frequent among toxic documents than among clean ones (smoothed
+log-odds and their z-score). These token labels train a two-state chain: emissions are sums of weights of word
+features, the transitions are free, and gradients come from forward-backward. Document scores come from the chain's marginals by
 a logistic layer on their largest value, their log-scaled sum and their density.
 
 Scoring runs over every token of every text. With two states the forward and backward vectors reduce to ratios that
@@ -26,28 +26,30 @@ from heddle.llm.common import ship, type_of
 #: The training sample: at most so many labelled rows of each class, in hash order, among texts up to so many characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 800, 20_000
 FOLDS = 5
-DIMS = 1 << 18
+#: Features of fewer sampled documents than this are left out.
+MIN_DOCS = 3
 LANE = 256
 CACHE_WORDS = 400_000
-#: A toxic token's log-odds must exceed so many standard errors.
-MIN_Z = 3.5
+#: What marks toxic tokens: least log-odds, and so many standard errors above zero.
+MIN_ODDS, MIN_Z = 2.0, 4.0
 #: Tokens whose marginal reaches this are reported as offending.
 OFFENDING = 0.5
 
 
 @dataclass
 class Model:
-    """Emission weights by hashed feature, a bias, log transitions, log start ratio, and the document layer."""
+    """Emission weights by feature, a bias, log transitions, log start ratio, and the document layer."""
 
-    weights: np.ndarray
+    weights: dict[str, float]
     bias: float
     trans: np.ndarray
     start: float
     layer: np.ndarray
 
-    def emissions(self, words: list[bytes]) -> np.ndarray:
+    def emissions(self, words: list[bytes]) -> list[float]:
         """Log ratio of the emission of the toxic state over the clean one for each word."""
-        return np.array([self.weights[features(w)].sum() for w in words]) + self.bias if words else np.empty(0)
+        get, bias = self.weights.get, self.bias
+        return [bias + sum(get(x, 0.0) for x in features(w)) for w in words]
 
 
 def core(word: bytes) -> str:
@@ -61,12 +63,14 @@ def core(word: bytes) -> str:
     return text[a:b]
 
 
-def features(word: bytes) -> np.ndarray:
-    from xxhash import xxh32_intdigest
+def stems(text: str) -> list[str]:
+    """A word core and its beginnings of 4 to 7 characters."""
+    return [f"w={text}", *(f"p={text[:n]}" for n in range(4, min(len(text), 7) + 1))]
 
+
+def features(word: bytes) -> list[str]:
     text = core(word)
-    names = (f"w={text}", f"p={text[:3]}", f"s={text[-3:]}", f"n={min(len(text), 12)}", f"u={word[:1].isupper()}")
-    return np.array([xxh32_intdigest(x) % DIMS for x in names], np.int64)
+    return [*stems(text), f"s={text[-3:]}", f"n={min(len(text), 12)}", "u=1" if word[:1].isupper() else "u=0"]
 
 
 def _scan(e: np.ndarray, reset: np.ndarray, first: float, m: np.ndarray, emit_after: bool) -> np.ndarray:
@@ -142,23 +146,23 @@ def _document_features(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(lengths)), most, np.log1p(np.maximum(sums, 0)), 100 * sums / np.maximum(lengths, 100)], 1)
 
 
-def toxic_words(documents: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Words whose document frequency among toxic documents is significantly above that among clean ones."""
+def toxic_stems(documents: list[set[str]], toxic: np.ndarray) -> set[str]:
+    """Stems whose document frequency among toxic documents is significantly above that among clean ones."""
     counts: dict[str, list[int]] = {}
-    for words, label in zip(documents, toxic.tolist(), strict=True):
-        for w in set(words):
-            counts.setdefault(w, [0, 0])[label] += 1
+    for found, label in zip(documents, toxic.tolist(), strict=True):
+        for x in found:
+            counts.setdefault(x, [0, 0])[label] += 1
     n1 = max(int(toxic.sum()), 1)
     n0 = max(len(toxic) - n1, 1)
-    found = set()
-    for w, (c0, c1) in counts.items():
-        if not w or c1 < 3:
+    marked = set()
+    for x, (c0, c1) in counts.items():
+        if x == "w=" or c1 < max(3, 0.01 * n1):
             continue
         odds = np.log((c1 + 0.5) / (n1 - c1 + 0.5)) - np.log((c0 + 0.5) / (n0 - c0 + 0.5))
         error = np.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5) + 1 / (n1 - c1 + 0.5) + 1 / (n0 - c0 + 0.5))
-        if odds / error >= MIN_Z and odds > 2.5:
-            found.add(w)
-    return found
+        if odds >= MIN_ODDS and (odds / error >= MIN_Z or (n1 < 30 and c0 == 0)):
+            marked.add(x)
+    return marked
 
 
 def fit(texts: list[bytes], labels: list[int], rounds: int = 60, decay: float = 1e-4) -> Model:
@@ -169,12 +173,22 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 60, decay: float =
     vocabulary: dict[bytes, int] = {}
     flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for words in split for w in words], np.int64)
     words = list(vocabulary)
-    cores = [core(w) for w in words]
-    bad = toxic_words([[cores[vocabulary[w]] for w in ws] for ws in split], y) if len(y) else set()
-    is_bad = np.array([c in bad for c in cores], bool)
+    by_word_stems = [stems(core(w)) for w in words]
+    bad = toxic_stems([{x for w in set(ws) for x in by_word_stems[vocabulary[w]]} for ws in split], y)
+    is_bad = np.array([any(x in bad for x in xs) for xs in by_word_stems], bool)
     gold = (is_bad[flat] & np.repeat(y == 1, lengths)).astype(float) if len(flat) else np.empty(0)
-    feats = np.array([features(w) for w in words], np.int64) if words else np.empty((0, 5), np.int64)
-    weights, bias, trans, start = np.zeros(DIMS), -2.0, np.zeros((2, 2)), 0.0
+    by_word_feats, seen_in = [features(w) for w in words], {}
+    for ws in split:
+        for x in {x for w in set(ws) for x in by_word_feats[vocabulary[w]]}:
+            seen_in[x] = seen_in.get(x, 0) + 1
+    column = {x: k for k, x in enumerate(x for x, c in seen_in.items() if c >= MIN_DOCS)}
+    pairs = np.array([(i, column[x]) for i, xs in enumerate(by_word_feats) for x in xs if x in column], np.int64).reshape(-1, 2)
+    word_of, feat_of = pairs[:, 0], pairs[:, 1]
+    weights, bias, trans, start = np.zeros(len(column)), -2.0, np.zeros((2, 2)), 0.0
+
+    def emitted() -> np.ndarray:
+        return (np.bincount(word_of, weights[feat_of], minlength=len(words)) + bias)[flat]
+
     n = len(flat)
     if n and gold.any():
         tail = np.zeros(n, bool)
@@ -184,17 +198,12 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 60, decay: float =
         head = (np.cumsum(lengths) - lengths)[full]
         g = gold.astype(np.int64)
         seen = np.bincount(g[inner] * 2 + g[inner + 1], minlength=4).reshape(2, 2)
-        per = np.bincount(flat, minlength=len(words)).astype(float)
-        scale_w, scale_s, scale_b, scale_t = np.full(DIMS, 1e-8), 1e-8, 1e-8, np.full((2, 2), 1e-8)
+        scale_w, scale_s, scale_b, scale_t = np.full(len(column), 1e-8), 1e-8, 1e-8, np.full((2, 2), 1e-8)
         gold_by_word = np.bincount(flat, gold, minlength=len(words))
         for _ in range(rounds):
-            emit = (weights[feats].sum(axis=1) + bias)[flat]
-            p, forward, backward, e = marginals(emit, lengths, trans, start)
+            p, forward, backward, e = marginals(emitted(), lengths, trans, start)
             by_word = np.bincount(flat, p, minlength=len(words)) - gold_by_word
-            grad = np.zeros(DIMS)
-            for j in range(feats.shape[1]):
-                grad += np.bincount(feats[:, j], by_word, minlength=DIMS)
-            grad += decay * per.sum() * weights / 100
+            grad = np.bincount(feat_of, by_word[word_of], minlength=len(column)) + decay * n / 100 * weights
             moves = _transition_counts(forward, backward, e, trans, inner) - seen
             first = float((p[head] - gold[head]).sum())
             # AdaGrad: each parameter has its own falling step.
@@ -207,8 +216,8 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 60, decay: float =
             trans -= 0.3 * moves / np.sqrt(scale_t)
             scale_s += first**2
             start -= 0.3 * first / np.sqrt(scale_s)
-    model = Model(weights, bias, trans, start, np.zeros(4))
-    x = _document_features(marginals((weights[feats].sum(axis=1) + bias)[flat] if n else np.empty(0), lengths, trans, start)[0], lengths)
+    model = Model(dict(zip(column, weights.tolist(), strict=True)), bias, trans, start, np.zeros(4))
+    x = _document_features(marginals(emitted() if n else np.empty(0), lengths, trans, start)[0], lengths)
     if not len(y) or y.min() == y.max():
         model.layer = np.array([4.0 if len(y) and y[0] else -4.0, 0, 0, 0])
         return model
@@ -236,7 +245,7 @@ def _word_emissions(model: Model, words: list[bytes]) -> np.ndarray:
         if len(_cached) > CACHE_WORDS:
             _cached.clear()
         missing = list(set(words).difference(_cached))
-        _cached.update(zip(missing, model.emissions(missing).tolist(), strict=True))
+        _cached.update(zip(missing, model.emissions(missing), strict=True))
         return np.fromiter(map(_cached.__getitem__, words), np.float64, len(words))
 
 
