@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import table
 from heddle.llm.decontamination import contaminated
+from heddle.llm.embedding_dedup import embedding_groups
 from heddle.llm.mixing import mix
 from heddle.llm.simhash_dedup import near_duplicate_groups
+from heddle.llm.token_counts import token_counts
 from heddle.llm.token_output import token_output
 from heddle.llm.toxicity import held_out, toxicity, train
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES)).withColumnRenamed("id", "doc_id")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
@@ -40,12 +48,17 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_groups(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op4_decontamination, op5_toxicity, op8_simhash_dedup, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_token_counts, op4_decontamination, op5_toxicity, op8_simhash_dedup, op9_embedding_dedup, op10_token_output)}
 
 ORACLES: dict[str, str] = {}
