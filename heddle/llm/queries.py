@@ -11,6 +11,7 @@ from heddle.llm.common import table
 from heddle.llm.decontamination import contaminated
 from heddle.llm.embedding_dedup import embedding_groups
 from heddle.llm.mixing import mix
+from heddle.llm.secrets import secret_spans, span_digest
 from heddle.llm.simhash_dedup import near_duplicate_groups
 from heddle.llm.token_counts import token_counts
 from heddle.llm.token_output import token_output
@@ -43,6 +44,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.concat_ws(",", F.transform("offending", lambda x: x.cast("string"))).alias("offending"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = span_digest(secret_spans(table(spark, sf_dir, "documents")))
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicate_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -59,6 +65,6 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_token_counts, op4_decontamination, op5_toxicity, op8_simhash_dedup, op9_embedding_dedup, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_token_counts, op4_decontamination, op5_toxicity, op6_secrets, op8_simhash_dedup, op9_embedding_dedup, op10_token_output)}
 
 ORACLES: dict[str, str] = {}
