@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.llm import licenses
+from heddle.llm.chat_format import formatted
 from heddle.llm.common import table
 from heddle.llm.decontamination import contaminated
 from heddle.llm.embedding_dedup import embedding_groups
@@ -20,6 +22,11 @@ from heddle.llm.toxicity import held_out, toxicity, train
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = F.size("draws")
     return mix(table(spark, sf_dir, "documents")).select(
@@ -49,6 +56,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatted(table(spark, sf_dir, "conversations")).withColumnsRenamed({"conv": "conv_id", "root": "thread_turn"})
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicate_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -65,6 +76,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_token_counts, op4_decontamination, op5_toxicity, op6_secrets, op8_simhash_dedup, op9_embedding_dedup, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_mixing, op3_token_counts, op4_decontamination, op5_toxicity, op6_secrets, op7_chat_format, op8_simhash_dedup, op9_embedding_dedup, op10_token_output)}
 
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL over whole tables. The other operators hash, draw, search or learn in ways that SQL cannot express.
+ORACLES: dict[str, str] = {"op1_licenses": licenses.oracle()}
