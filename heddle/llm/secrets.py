@@ -74,44 +74,75 @@ def _below(z: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(1.5976 * z + 0.070566 * z * z * z, F.lit(300.0)), F.lit(-300.0))))
 
 
-def _battery(token: Column) -> Column:
-    """Struct (encoding, length class, bin, random) of a run."""
-    tests = F.lit(None)
-    n = F.length(token).cast("double")
+def _let(value: Column, then) -> Column:
+    """Names a value, so that an expression that uses it often holds it once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _encoding(token: Column) -> Column:
+    """The first encoding whose pattern a run matches, as a struct of its name, alphabet, halves and text sums."""
+    out = F.lit(None)
     for name, pattern, alphabet, s2, s3 in reversed(ENCODINGS):
-        size, half = float(len(alphabet)), len(alphabet) // 2
-        plain = F.translate(token, "-_", "+/") if name == "base64" else token
-        counts = F.transform(F.array(*map(F.lit, alphabet)), lambda c, plain=plain: (F.length(plain) - F.length(F.replace(plain, c, F.lit("")))).cast("double"))
-        squares = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x)
-        chi = (squares * size / n - n - (size - 1)) / (2 * (size - 1)) ** 0.5
-        bits = F.translate(plain, alphabet, "0" * half + "1" * (len(alphabet) - half))
-        ones = F.length(F.replace(bits, F.lit("0"), F.lit(""))).cast("double")
-        changes = 2 * F.length(bits) - F.length(F.replace(bits, F.lit("01"), F.lit("x"))) - F.length(F.replace(bits, F.lit("10"), F.lit("x")))
-        mixed = 2 * ones * (n - ones)
-        runs = F.when(mixed > n, F.abs(changes - mixed / n) / F.sqrt(mixed * (mixed - n) / (n * n * (n - 1)))).otherwise(F.lit(9.0))
-        places = F.transform(F.split(plain, ""), lambda c, alphabet=alphabet: F.instr(F.lit(alphabet), c).cast("double"))
-
-        def serial(state: Column, x: Column) -> Column:
-            paired = F.when(state["last"].isNull(), F.lit(0.0)).otherwise(state["last"] * x)
-            return F.struct((state["s"] + x).alias("s"), (state["q"] + x * x).alias("q"), (state["p"] + paired).alias("p"), F.coalesce(state["first"], x).alias("first"), x.alias("last"))
-
-        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0.0).alias("p"), F.lit(None).cast("double").alias("first"), F.lit(None).cast("double").alias("last"))
-
-        def correlation(st: Column) -> Column:
-            # Circular lag-one correlation; its mean is -1/(n-1) and its variance about 1/n.
-            below = n * st["q"] - st["s"] * st["s"]
-            r = (n * (st["p"] + st["first"] * st["last"]) - st["s"] * st["s"]) / below
-            return F.when(below > 0, F.abs(r + 1 / (n - 1)) * F.sqrt(n)).otherwise(F.lit(9.0))
-
-        logs = F.ln(F.greatest(1 - _below(chi), F.lit(1e-12))) + F.ln(F.greatest(2 * _below(-runs), F.lit(1e-12))) + F.ln(F.greatest(2 * _below(-correlation(F.aggregate(places, zero, serial))), F.lit(1e-12)))
-        fisher = F.exp(logs) * (1 - logs + logs * logs / 2)
-        text_mean = n + n * (n - 1) * s2
-        text_spread = F.sqrt(4 * (n * (n - 1) / 2 * (s2 - s2 * s2) + n * (n - 1) * (n - 2) * (s3 - s2 * s2)))
-        against_text = F.least(_below((squares - text_mean) / text_spread), F.lit(1.0))
-        bin_ = F.least(F.floor(-10 * F.log10(F.greatest(against_text, F.lit(1e-30)))), F.lit(BINS)).cast("int")
-        one = F.struct(F.lit(name).alias("encoding"), F.floor(2 * F.log2(n)).cast("int").alias("class"), bin_.alias("bin"), (fisher >= LEAST_P).alias("random"))
-        tests = F.when(token.rlike(pattern), one).otherwise(tests)
-    return tests
+        half = len(alphabet) // 2
+        halves = "0" * half + "1" * (len(alphabet) - half)
+        one = F.struct(F.lit(name).alias("name"), F.lit(alphabet).alias("alphabet"), F.lit(halves).alias("halves"), F.lit(s2).alias("s2"), F.lit(s3).alias("s3"))
+        out = F.when(token.rlike(pattern), one).otherwise(out)
+    return out
+
+
+def _counted(x: Column) -> Column:
+    """What the tests need of struct (token, e): length, squared counts, halves, changes and serial sums."""
+    token, alphabet = x["token"], x["e"]["alphabet"]
+    counts = F.transform(F.split(alphabet, ""), lambda c: (F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"))
+    places = F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c).cast("double"))
+
+    def serial(state: Column, v: Column) -> Column:
+        paired = F.when(state["last"].isNull(), F.lit(0.0)).otherwise(state["last"] * v)
+        return F.struct((state["s"] + v).alias("s"), (state["q"] + v * v).alias("q"), (state["p"] + paired).alias("p"), F.coalesce(state["first"], v).alias("first"), v.alias("last"))
+
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0.0).alias("p"), F.lit(None).cast("double").alias("first"), F.lit(None).cast("double").alias("last"))
+    return F.struct(
+        x["e"].alias("e"),
+        F.length(token).cast("double").alias("n"),
+        F.length(alphabet).cast("double").alias("size"),
+        F.aggregate(counts, F.lit(0.0), lambda a, v: a + v * v).alias("squares"),
+        F.call_function("translate", token, alphabet, x["e"]["halves"]).alias("bits"),
+        F.aggregate(places, zero, serial).alias("serial"),
+    )
+
+
+def _tested(x: Column) -> Column:
+    """The statistics as deviations from their means: chi-squared, runs, serial correlation, and against text."""
+    n, size, bits, st = x["n"], x["size"], x["bits"], x["serial"]
+    s2, s3 = x["e"]["s2"], x["e"]["s3"]
+    chi = (x["squares"] * size / n - n - (size - 1)) / F.sqrt(2 * (size - 1))
+    changes = 2 * F.length(bits) - F.length(F.replace(bits, F.lit("01"), F.lit("x"))) - F.length(F.replace(bits, F.lit("10"), F.lit("x")))
+    ones = F.length(F.replace(bits, F.lit("0"), F.lit(""))).cast("double")
+    runs = _let(2 * ones * (n - ones), lambda m: F.when(m > n, F.abs(changes - m / n) / F.sqrt(m * (m - n) / (n * n * (n - 1)))).otherwise(F.lit(9.0)))
+    # Circular lag-one correlation; its mean is -1/(n-1) and its variance about 1/n.
+    below = n * st["q"] - st["s"] * st["s"]
+    r = (n * (st["p"] + st["first"] * st["last"]) - st["s"] * st["s"]) / below
+    serial = F.when(below > 0, F.abs(r + 1 / (n - 1)) * F.sqrt(n)).otherwise(F.lit(9.0))
+    spread = F.sqrt(4 * (n * (n - 1) / 2 * (s2 - s2 * s2) + n * (n - 1) * (n - 2) * (s3 - s2 * s2)))
+    text = (x["squares"] - n - n * (n - 1) * s2) / spread
+    return F.struct(x["e"]["name"].alias("name"), n.alias("n"), chi.alias("chi"), runs.alias("runs"), serial.alias("serial"), text.alias("text"))
+
+
+def _battery(token: Column) -> Column:
+    """Struct (encoding, class, bin, random) of a run: its inferred encoding, length class, bin of its p-value against
+    text, and whether uniform randomness stands."""
+    least = F.lit(1e-12)
+
+    def logs(t: Column) -> Column:
+        return F.ln(F.greatest(1 - _below(t["chi"]), least)) + F.ln(F.greatest(2 * _below(-t["runs"]), least)) + F.ln(F.greatest(2 * _below(-t["serial"]), least))
+
+    def judged(t: Column) -> Column:
+        bin_ = F.least(F.floor(-10 * F.log10(F.greatest(_below(t["text"]), F.lit(1e-30)))), F.lit(BINS)).cast("int")
+        random = _let(logs(t), lambda g: F.exp(g) * (1 - g + g * g / 2) >= LEAST_P)
+        return F.struct(t["name"].alias("encoding"), F.floor(2 * F.log2(t["n"])).cast("int").alias("class"), bin_.alias("bin"), random.alias("random"))
+
+    named = _let(_encoding(token), lambda e: F.struct(F.when(e["name"] == "base64", F.translate(token, "-_", "+/")).otherwise(token).alias("token"), e.alias("e")))
+    return _let(_let(_let(named, _counted), _tested), judged)
 
 
 def thresholds(tested: DataFrame) -> DataFrame:
