@@ -248,3 +248,26 @@ def contaminated(
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def _clean_batches(batches: Iterator[pa.RecordBatch], shared, text_at: int) -> Iterator[pa.RecordBatch]:
+    items = shared.value
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            clean = np.ones(part.num_rows, bool)
+            for row, raw in items.possible(part.column(text_at).cast(pa.binary()).to_pylist()):
+                clean[row] = not items.best_windows(raw)
+            yield part.filter(pa.array(clean))
+
+
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS
+) -> DataFrame:
+    """The rows that match no item, with all their columns, without a shuffle; each block of items filters in turn."""
+    spark, out, text_at = docs.sparkSession, docs, docs.columns.index(text_col)
+    ship(spark)
+    for block in _blocks(benchmark, item_col, item_text_col):
+        items = spark.sparkContext.broadcast(Items(block, shingle, least, radius))
+        out = out.mapInArrow(lambda b, items=items: _clean_batches(b, items, text_at), docs.schema)
+    return out

@@ -11,7 +11,7 @@
    same number of blocks and each source's quota is met exactly.
 4. Shards draw disjoint ranges of each source's permuted blocks, and order their documents by hash.
 
-All of it is DataFrame expressions. Prefix sums run in two levels (within hash buckets of some 16,000 rows, then over
+All of it is DataFrame expressions. Prefix sums run in two levels (within hash buckets of some 2,000 rows, then over
 bucket sums), so a source that holds a third of all rows is spread over as many tasks as it has buckets.
 """
 
@@ -27,7 +27,7 @@ MAX_REPEATS = 3
 SHARD_LEVELS = 4
 BLOCK_WORDS = 4096
 LARGE_SHARE = 2048
-BUCKET_ROWS = 16384
+BUCKET_ROWS = 2048
 #: Up to so many sources are broadcast; beyond it Spark joins them by shuffle.
 BROADCAST_SOURCES = 10_000
 #: A prime above any number of blocks that a multiplier may share a factor with at this size; permutes block numbers.
@@ -184,3 +184,18 @@ def mixed_shards(mixed: DataFrame) -> DataFrame:
     """The mix itself: a row for each copy, ``(shard, id, place)``, dealt by shard and salt and shuffled locally."""
     rows = mixed.select(F.inline("draws"), "id").select("shard", "id", "place")
     return rows.repartition("shard", F.pmod("place", F.lit(64))).sortWithinPartitions("shard", "place")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix as rows of ``docs`` with all their columns, each as often as it is drawn.
+
+    Ids must be unique but for nulls; rows without an id all come as often as such rows are drawn on average.
+    """
+    drawn = mix(docs, id_col, text_col, source_col)
+    copies = drawn.where("id is not null").select(F.col("id").alias("_drawn_id"), F.size("draws").alias("_copies")).where("_copies > 0")
+    named = docs.join(copies, docs[id_col] == copies["_drawn_id"])
+    nameless = docs.where(docs[id_col].isNull())
+    if nameless.take(1):
+        often = drawn.where("id is null").select(F.size("draws").alias("_copies")).agg(F.coalesce(F.round(F.avg("_copies")), F.lit(0)).cast("int")).first()[0]
+        named = named.unionByName(nameless.withColumns({"_drawn_id": F.lit(None).cast(docs.schema[id_col].dataType), "_copies": F.lit(often)}).where("_copies > 0"))
+    return named.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

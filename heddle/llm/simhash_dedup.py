@@ -221,3 +221,16 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = least.groupBy("root").agg(F.min("least").alias("component"))
     named = least.join(linked, "root").select("fp", "component")
     return rows.join(named, "fp").select("id", "fp", "component")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with the smallest id of their component, with all their columns.
+
+    Of rows with equal ids and that smallest id one stays. A row without an id cannot be named and stays.
+    """
+    groups = materialise(near_duplicate_groups(docs, id_col, text_col).select("id", "component").where("id is not null"), "groups")
+    out = docs.join(groups.where("id <> component").select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
+    repeated = groups.where("id = component").groupBy("id").count().where("count > 1").select(F.col("id").alias(id_col))
+    if repeated.take(1):
+        out = out.join(repeated, id_col, "left_anti").unionByName(out.join(repeated, id_col, "left_semi").dropDuplicates([id_col]))
+    return out.select(docs.columns)

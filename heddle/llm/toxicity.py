@@ -314,3 +314,19 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(lambda b: _score_batches(b, shared), f"id {type_of(docs, id_col)}, score double, offending array<long>")
+
+
+def _clean_batches(batches: Iterator[pa.RecordBatch], shared, text_at: int, limit: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            scores, _ = score_texts(shared.value, part.column(text_at).cast(pa.binary()).to_pylist())
+            yield part.filter(pa.array(scores < limit))
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows whose score is below ``limit``, with all their columns, without a shuffle."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared, text_at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+    return docs.mapInArrow(lambda b: _clean_batches(b, shared, text_at, limit), docs.schema)
