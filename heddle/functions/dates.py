@@ -31,10 +31,10 @@ def utc_date(epoch_seconds: Column) -> Column:
 
 
 def age_text(then: Column, as_of: Column) -> Column:
-    """How long ago: now, then whole seconds over 5, minutes, hours, days."""
+    """How long ago in whole seconds, minutes, hours or days; "now" for what lies ahead, "" for null."""
     s = F.unix_timestamp(as_of) - F.unix_timestamp(then)
     part = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(unit))
-    return F.when(then.isNull(), F.lit("")).when(s < 5, F.lit("now")).when(s < 60, part(1, "s ago")).when(s < 3600, part(60, "m ago")).when(s < 86400, part(3600, "h ago")).otherwise(part(86400, "d ago"))
+    return F.when(then.isNull(), F.lit("")).when(s < 0, F.lit("now")).when(s < 60, part(1, "s ago")).when(s < 3600, part(60, "m ago")).when(s < 86400, part(3600, "h ago")).otherwise(part(86400, "d ago"))
 
 
 def day_text(ts: Column) -> Column:

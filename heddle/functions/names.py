@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words inside parentheses that are no brand, and suffixes that slugs go without.
-PAREN_STOPWORDS = ("by", "the", "formerly", "acquired", "part", "of", "now")
-SLUG_SUFFIXES = ("inc", "labs", "technologies", "technology", "security", "software", "health", "ai", "io", "hq", "app")
+#: Words inside parentheses that are no brand, suffixes that slugs go without, and separators of titles.
+PAREN_STOPWORDS = ("formerly", "inc", "corp", "the", "an", "a")
+SLUG_SUFFIXES = ("inc", "labs", "ai", "technologies", "technology", "systems", "group", "corp", "corporation", "llc", "co", "gmbh", "industries", "app", "software", "ventures", "health", "science", "sciences")
+TITLE_SEPARATORS = (":", "—", "–", " | ")
 
 
 def text(c: Column) -> Column:
@@ -39,9 +40,11 @@ def slug_candidates(name: Column) -> Column:
     """Board slugs to try for a name, in order and distinct: its key; words in parentheses; without a suffix; without
     trailing digits."""
     base = name_key(name)
-    inside = F.regexp_extract_all(F.lower(text(name)), F.lit(r"\(([^)]*)\)"), F.lit(1))
+    inside = F.regexp_extract_all(F.lower(text(name)), F.lit(r"\(([^)]+)\)"), F.lit(1))
     words = F.filter(F.flatten(F.transform(inside, lambda x: F.split(x, "[^a-z0-9]+"))), lambda w: (w != "") & ~w.isin(*PAREN_STOPWORDS))
     shorter = F.transform(F.array(*map(F.lit, SLUG_SUFFIXES)), lambda s: F.when(F.endswith(base, s) & (F.length(base) > F.length(s) + 2), F.substring(base, F.lit(1), F.length(base) - F.length(s))).otherwise(F.lit("")))
+    # Without a key of its own a name has no candidates.
+    words = F.when(base == "", F.array().cast("array<string>")).otherwise(words)
     return F.array_distinct(F.filter(F.concat(F.array(base), words, shorter, F.array(F.regexp_replace(base, r"\d+$", ""))), lambda x: x != ""))
 
 
@@ -57,16 +60,25 @@ def pretty_name(slug: Column) -> Column:
 
 def humanised_slug(slug: Column) -> Column:
     """A slug as a title: no trailing UUID or ``-number``, every word capitalised."""
-    plain = F.regexp_replace(F.lower(text(slug)), r"-?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", "")
+    plain = F.regexp_replace(F.lower(text(slug)), r"-[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", "")
     plain = F.regexp_replace(plain, r"-\d+$", "")
     return F.array_join(F.transform(F.filter(F.split(plain, "[-_]+"), lambda w: w != ""), _capital), " ")
 
 
 def company_from_title(title: Column) -> Column:
-    """The company that a feed's posting title names, by the first separator present: ``: ``, `` at ``, `` - ``."""
-    t = F.trim(text(title))
-    first, last = F.substring_index(t, ": ", 1), F.substring_index(t, " at ", -1)
-    return F.when(F.contains(t, F.lit(": ")), F.trim(first)).when(F.contains(t, F.lit(" at ")), F.trim(last)).when(F.contains(t, F.lit(" - ")), F.trim(F.substring_index(t, " - ", 1))).otherwise(F.lit(""))
+    """The company that a feed's posting title names: what stands before the first separator of
+    :data:`TITLE_SEPARATORS` that leaves 2 to 60 characters, else before any dash, colon or bar; "" if none does."""
+    t = text(title)
+
+    def fits(head: Column) -> Column:
+        return F.length(head).between(2, 60)
+
+    rest = F.trim(F.split(t, r"\s*[:—–\-|]\s*", 2)[0])
+    out = F.when(t.rlike(r"[:—–\-|]") & fits(rest), rest).otherwise(F.lit(""))
+    for separator in reversed(TITLE_SEPARATORS):
+        head = F.trim(F.substring_index(t, separator, 1))
+        out = F.when(F.contains(t, F.lit(separator)) & fits(head), head).otherwise(out)
+    return out
 
 
 def is_junk_slug(slug: Column) -> Column:

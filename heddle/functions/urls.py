@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from heddle.functions.names import ascii_key, known, name_key, text
+from heddle.functions.names import known, name_key, text, unicode_key
 
 #: Board of a URL by substring, in order; the first that occurs anywhere in the URL wins.
 URL_RULES = (
@@ -141,6 +141,31 @@ def board_token(board: Column, source: Column, url: Column) -> Column:
     )
 
 
+#: Where a board's URL, in lower case, holds the company's slug.
+SLUG_PATTERNS = (
+    ("greenhouse", r"greenhouse\.io/([^/?#]+)"),
+    ("lever", r"jobs\.lever\.co/([^/?#]+)"),
+    ("ashby", r"jobs\.ashbyhq\.com/([^/?#]+)"),
+    ("workable", r"apply\.workable\.com/([^/?#]+)"),
+    ("smartrecruiters", r"(?:jobs|careers)\.smartrecruiters\.com/([^/?#]+)"),
+    ("rippling", r"ats\.rippling\.com/([^/?#]+)"),
+    ("teamtailor", r"https?://([^./]+)\.teamtailor\.com"),
+    ("personio", r"https?://([^./]+)\.jobs\.personio\.com"),
+    ("breezyhr", r"https?://([^./]+)\.breezy\.hr"),
+    ("bamboohr", r"https?://([^./]+)\.bamboohr\.com"),
+    ("pinpoint", r"https?://([^./]+)\.pinpointhq\.com"),
+    ("workday", r"https?://([^./]+)\.wd"),
+)
+
+
+def registry_slug(board: Column, url: Column) -> Column:
+    """The slug by :data:`SLUG_PATTERNS`; null where the URL has none."""
+    u, out = F.regexp_replace(F.lower(text(url)), "/+$", ""), F.lit(None).cast("string")
+    for name, pattern in SLUG_PATTERNS:
+        out = F.when(board == name, known(F.regexp_extract(u, pattern, 1))).otherwise(out)
+    return out
+
+
 def board_slug(board: Column, url: Column) -> Column:
     """The slug in a board's URL, by the board's kind; "" if none."""
     return F.when(board.isin(*SUBDOMAIN_BOARDS), first_label(url)).otherwise(first_segment(url))
@@ -170,15 +195,15 @@ def company_key(name: Column, website: Column, url: Column) -> Column:
 
 
 def workable_slug(url: Column) -> Column:
-    """The slug of a ``slug.workable.com`` address; "" for the shared hosts."""
-    label = F.regexp_extract(text(host(url)), r"^([^.]+)\.workable\.com$", 1)
-    return F.when(label.isin("apply", "jobs", "www"), F.lit("")).otherwise(label)
+    """The first label of a ``workable.com`` address below the shared hosts; "" else."""
+    h = text(host(url))
+    return F.when(F.endswith(h, F.lit(".workable.com")) & (h != "apply.workable.com"), F.substring_index(h, ".", 1)).otherwise(F.lit(""))
 
 
 def query_token(board: Column, name: Column, url: Column, token: Column) -> Column:
     """The token used at query time: some boards derive it from the name or take the whole URL."""
-    return F.coalesce(known(token), F.when(board == "smartrecruiters", ascii_key(name)).when(board == "workday", known(url)))
+    return F.when(board == "smartrecruiters", known(unicode_key(name))).when(board == "workday", F.coalesce(known(url), known(token))).otherwise(known(token))
 
 
 def is_domain(value: Column) -> Column:
-    return text(value).rlike(r"^[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")
+    return F.lower(F.trim(text(value))).rlike(r"^[a-z0-9][a-z0-9.-]*\.[a-z]{2,}$")

@@ -1 +1 @@
-
+"""Operators: DataFrames in, DataFrames out, nothing read or written."""
