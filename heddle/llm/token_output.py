@@ -33,10 +33,10 @@ MAGIC = b"BPL1"
 BLOCK = 1 << 16
 #: Ids of one file; a longer document still goes to one file whole.
 FILE_IDS = 1 << 24
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 _FOOTER, _CHUNK = struct.Struct("<QQII4s"), struct.Struct("<QI32I")
-#: Lower-case letters with one-step case mapping and no decomposition that NFC could change.
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: A full stop or comma after an ASCII or Latin-1 letter and before white space.
+_LONE = re.compile(rb"[.,](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \n])")
 
 
 def planes(ids: np.ndarray) -> list[bytes]:
@@ -121,22 +121,26 @@ class WordEncoder:
             and not any(re.search(r"\s", x["content"]) or x.get("lstrip") or x.get("rstrip") for x in spec["added_tokens"])
         )
         self.words: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.special = [x["content"].lower().encode() for x in spec["added_tokens"]]
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _split(self, text: bytes) -> list[bytes]:
+        """Words between ASCII white space. Lower-casing ASCII letters here changes no id, as the tokenizer does so
+        anyway, but for special tokens, which it looks for before; a lone full stop or comma between a letter and
+        white space is a pre-token of its own, so it may stand apart and the word be found in the cache."""
+        if b"<" in text and any(x in text.lower() for x in self.special):
+            return text.split()
+        return _LONE.sub(rb" \g<0>", text.lower()).split()
+
     def _learn(self, missing: list[bytes]) -> None:
-        if len(self.words) + len(missing) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.cores) > CACHE_WORDS:
-            self.cores.clear()
-        split = {w: (m[1].lower(), m[2]) if (m := _SIMPLE.fullmatch(t := w.decode())) else (t, "") for w in missing}
-        cores = list({c for pair in split.values() for c in pair if c and c not in self.cores})
-        self.cores.update(zip(cores, self._fresh(cores), strict=True))
-        core = self.cores
-        for w, (a, b) in split.items():
-            self.words[w] = core[a] + core[b] if b else core[a]
+        """Two generations of CACHE_WORDS: what is used again survives, the rest goes."""
+        old = self.older
+        fresh = [w for w in missing if w not in old]
+        self.words.update((w, old[w]) for w in missing if w in old)
+        self.words.update(zip(fresh, self._fresh([w.decode() for w in fresh]), strict=True))
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
@@ -144,14 +148,11 @@ class WordEncoder:
             return self._fresh([(t or b"").decode() for t in texts])
         out: list[bytes] = []
         for at in range(0, len(texts), 64):
-            split = [(t or b"").split() for t in texts[at : at + 64]]
+            split = [self._split(t or b"") for t in texts[at : at + 64]]
             seen = set().union(*split)
-            missing = [w for w in seen if w not in self.words]
-            if missing:
-                before = len(self.words)
-                self._learn(missing)
-                if len(self.words) < before + len(missing):  # the cache was emptied: every word anew
-                    self._learn([w for w in seen if w not in self.words])
+            if len(self.words) > CACHE_WORDS:
+                self.words, self.older = {}, self.words
+            self._learn(list(seen.difference(self.words)))
             got = self.words.__getitem__
             out += [b"".join(map(got, words)) for words in split]
         return out
@@ -264,7 +265,9 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     """One row per document, read back from the files: ``(doc_id, start, n_tokens, ids_crc32)``."""
     ship(manifest.sparkSession)
     kind = manifest.schema["docs"].dataType.elementType.simpleString()
-    rows = manifest.select("path", "base", "docs").repartition("path")
+    rows = manifest.select("path", "base", "docs")
+    # A file is work for seconds although its row is small, so the number of tasks is given, not left to be coalesced.
+    rows = rows.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     return rows.mapInArrow(_read_batches, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
