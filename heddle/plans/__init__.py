@@ -1,4 +1,8 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and the same in DuckDB's SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from heddle.plans.queries import QUERIES
+from heddle.plans.sql import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]

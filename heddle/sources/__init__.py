@@ -1 +1 @@
-
+"""Sources and sinks: parsers of payloads, files, and the reader that fetches boards."""
