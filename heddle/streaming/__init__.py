@@ -1 +1 @@
-
+"""Streams of ticks over the state of postings."""
