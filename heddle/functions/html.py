@@ -8,11 +8,12 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from heddle.functions.names import text
+from heddle.functions.names import strip, text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(values: pd.Series) -> pd.Series:
     """HTML entities as the characters they stand for."""
     return values.map(lambda v: v if v is None or "&" not in v else _html.unescape(v))
@@ -23,7 +24,7 @@ def strip_tags(value: Column) -> Column:
 
 
 def one_line(value: Column) -> Column:
-    return F.trim(F.regexp_replace(text(value), r"(?U)\s+", " "))
+    return strip(F.regexp_replace(text(value), r"(?U)\s+", " "))
 
 
 def clean(value: Column) -> Column:
@@ -41,7 +42,7 @@ def clean_basic(value: Column) -> Column:
 
 def page_title(page: Column) -> Column:
     """The trimmed text of the first title element; "" if none."""
-    return F.trim(F.regexp_extract(text(page), r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return strip(F.regexp_extract(text(page), r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
 def og_title(page: Column) -> Column:
@@ -96,7 +97,7 @@ def first_key(value: object, key: str) -> object:
 
 
 def assigned_json(page: Column, name: str) -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(pages: pd.Series) -> pd.Series:
         return pages.map(lambda p: balanced_json(p, name))
 
@@ -106,7 +107,7 @@ def assigned_json(page: Column, name: str) -> Column:
 def json_first_key(payload: Column, key: str) -> Column:
     """The first value of ``key`` anywhere in a JSON text, as JSON text."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(values: pd.Series) -> pd.Series:
         def one(v: str | None) -> str | None:
             found = None if v is None else first_key(json.loads(v), key)

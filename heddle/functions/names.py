@@ -21,6 +21,11 @@ def known(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end; null as the empty string."""
+    return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
+
+
 def ascii_key(name: Column) -> Column:
     """Lower case, only ASCII letters and digits."""
     return F.regexp_replace(F.lower(text(name)), "[^a-z0-9]", "")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.functions.names import known, name_key, slug_candidates, text
+from heddle.functions.names import known, name_key, slug_candidates, strip, text
 from heddle.functions.urls import PATH_BOARDS, SUBDOMAIN_BOARDS, board_from_url, board_slug, board_token, company_key, first_segment, legacy_bare_domain, url_rank
 
 RAW = "seq long, company_name string, career_page_url string, website string, domain_hint string, ats_type string, source_platform string"
@@ -48,13 +48,13 @@ def canonical_names(entries: DataFrame, key: str = "key", name: str = "company_n
 
 def _first(value: str) -> Column:
     """The first value, trimmed, of those that aren't empty before trimming."""
-    return F.coalesce(F.trim(F.min_by(value, F.when(text(F.col(value)) != "", F.col("seq")))), F.lit("")).alias(value)
+    return strip(F.min_by(value, F.when(text(F.col(value)) != "", F.col("seq")))).alias(value)
 
 
 def merge_entries(entries: DataFrame, discovered: DataFrame | None = None) -> DataFrame:
     """One row per company before boards are settled; ``discovered(company_name, ats, career_page_url, slug, seq)``."""
     rows = entries.withColumn("key", company_key(F.col("company_name"), F.col("website"), F.col("career_page_url")))
-    url = F.trim(text(F.col("career_page_url")))
+    url = strip(F.col("career_page_url"))
     label = F.lower(F.coalesce(known(F.col("ats_type")), F.lit("unknown")))
     merged = rows.groupBy("key").agg(
         F.min("seq").alias("seq"),

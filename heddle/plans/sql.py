@@ -225,7 +225,7 @@ O["candidate_probe"] = f"""with live as (select distinct replace(p_name, ' ', ''
   n as (select distinct p_name as name from part), c as (select name, unnest({candidates('name')}) as slug, generate_subscripts({candidates('name')}, 1) as cp from n),
   t as (select * from c, (values (1, 'greenhouse'), (2, 'lever'), (3, 'ashby')) b(ap, ats))
   select name, ats, slug from t join live using (ats, slug) qualify row_number() over (partition by name order by ap, cp) = 1"""
-_title = "trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))"
+_title = "regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^\\s+|\\s+$', '', 'g')"
 _t = f"{_title} || ' (Brand GmbH) Co.'"
 O["norm_keys"] = f"select page_id, {name_key(_t)} as n1, {key(_t)} as n2, regexp_replace(lower({_t}), '[^\\p{{L}}\\p{{N}}]', '', 'g') as n3 from pages"
 O["bare_domain"] = f"select page_id, {host('url')} as host, {last_two(host('url'))} as domain, replace({host('url')}, 'www.', '') as plain from pages"

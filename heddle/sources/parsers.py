@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.dates import iso_from_dotted, iso_from_millis
 from heddle.functions.html import assigned_json, clean, json_first_key, one_line, strip_tags, unescape
-from heddle.functions.names import known, text
+from heddle.functions.names import known, strip, text
 from heddle.operators.merge import first_per_key
 
 POSTING = ("company", "ats", "job_id", "title", "location", "url", "department", "work_type", "posted_at", "raw")
@@ -43,6 +43,11 @@ def _each(rows: DataFrame, items: Column) -> DataFrame:
     return rows.select("company", "token", F.posexplode(items).alias("pos", "j"))
 
 
+def _list(kind: str) -> Column:
+    """The payload as a list; null where it is none, as a lone object would pass for a list of one."""
+    return F.when(F.startswith(strip(F.col("payload")), F.lit("[")), F.from_json("payload", kind))
+
+
 def _field(value: Column, path: str) -> Column:
     """A member of what may be a JSON object; "" where it is anything else."""
     return text(F.get_json_object(value, path))
@@ -70,7 +75,7 @@ def greenhouse(rows: DataFrame) -> DataFrame:
 def lever(rows: DataFrame) -> DataFrame:
     j = F.col("j")
     return _postings(
-        _each(rows, F.from_json("payload", LEVER)), "lever", job_id=j["id"], title=j["text"], location=_field(j["categories"], "$.location"), url=F.coalesce(known(j["applyUrl"]), j["hostedUrl"]), department=_field(j["categories"], "$.team"), work_type=F.lower(text(j["workplaceType"])), posted_at=iso_from_millis(j["createdAt"])
+        _each(rows, _list(LEVER)), "lever", job_id=j["id"], title=j["text"], location=_field(j["categories"], "$.location"), url=F.coalesce(known(j["applyUrl"]), j["hostedUrl"]), department=_field(j["categories"], "$.team"), work_type=F.lower(text(j["workplaceType"])), posted_at=iso_from_millis(j["createdAt"])
     )
 
 
@@ -103,9 +108,8 @@ def smartrecruiters(rows: DataFrame) -> DataFrame:
 
 def personio(rows: DataFrame) -> DataFrame:
     j = F.col("j")
-    trimmed = lambda c: F.trim(text(c))
-    url = F.concat(F.lit("https://"), F.col("token"), F.lit(".jobs.personio.com/job/"), trimmed(j["id"]), F.lit("?language=en"))
-    return _postings(_each(rows, F.from_xml("payload", PERSONIO)["position"]), "personio", job_id=trimmed(j["id"]), title=trimmed(j["name"]), location=trimmed(j["office"]), url=url, department=trimmed(j["department"]), posted_at=trimmed(j["createdAt"]))
+    url = F.concat(F.lit("https://"), F.col("token"), F.lit(".jobs.personio.com/job/"), strip(j["id"]), F.lit("?language=en"))
+    return _postings(_each(rows, F.from_xml("payload", PERSONIO)["position"]), "personio", job_id=strip(j["id"]), title=strip(j["name"]), location=strip(j["office"]), url=url, department=strip(j["department"]), posted_at=strip(j["createdAt"]))
 
 
 def _label(value: Column) -> Column:
@@ -117,15 +121,15 @@ def rippling(rows: DataFrame) -> DataFrame:
     j = F.col("j")
     job_id = F.coalesce(known(j["uuid"]), j["id"])
     url = F.coalesce(known(j["url"]), F.concat(F.lit("https://ats.rippling.com/"), F.col("token"), F.lit("/jobs/"), text(job_id), F.lit("/apply?step=application")))
-    return _postings(_each(rows, F.from_json("payload", RIPPLING)), "rippling", job_id=job_id, title=j["name"], location=_label(j["workLocation"]), url=url, department=_label(j["department"]))
+    return _postings(_each(rows, _list(RIPPLING)), "rippling", job_id=job_id, title=j["name"], location=_label(j["workLocation"]), url=url, department=_label(j["department"]))
 
 
 def teamtailor(rows: DataFrame) -> DataFrame:
     j = F.col("j")
-    link, about = F.trim(text(j["link"])), F.trim(text(j["description"]))
-    span = lambda name: F.trim(strip_tags(F.regexp_extract(about, rf'(?i)<span[^>]*class="[^"]*{name}[^"]*"[^>]*>(.*?)</span>', 1)))
+    link, about = strip(j["link"]), strip(j["description"])
+    span = lambda name: strip(strip_tags(F.regexp_extract(about, rf'(?i)<span[^>]*class="[^"]*{name}[^"]*"[^>]*>(.*?)</span>', 1)))
     job_id = F.when(F.contains(link, F.lit("/jobs/")), F.substring_index(F.substring_index(link, "/jobs/", -1), "?", 1)).otherwise("")
-    return _postings(_each(rows, F.from_xml("payload", TEAMTAILOR)["channel"]["item"]), "teamtailor", job_id=job_id, title=F.trim(text(j["title"])), location=span("location"), url=link, department=span("department"))
+    return _postings(_each(rows, F.from_xml("payload", TEAMTAILOR)["channel"]["item"]), "teamtailor", job_id=job_id, title=strip(j["title"]), location=span("location"), url=link, department=span("department"))
 
 
 def _first_cards(cards: DataFrame) -> DataFrame:
@@ -167,7 +171,7 @@ def mailto(rows: DataFrame) -> DataFrame:
     hrefs = F.array_distinct(F.regexp_extract_all("payload", F.lit(r'(?i)href="(mailto:[^"]+)"'), F.lit(1)))
     each = rows.select("company", "token", F.posexplode(hrefs).alias("pos", "href")).withColumn("href", unescape(F.col("href")))
     subject = F.try_url_decode(F.regexp_extract("href", r"[?&]subject=([^&]*)", 1))
-    title = F.trim(F.regexp_replace(text(subject), r"(?i)^\s*application\s*[—\-]\s*", ""))
+    title = strip(F.regexp_replace(text(subject), r"(?i)^\s*application\s*[—\-]\s*", ""))
     each = each.withColumn("title", title).where("title <> ''").withColumn("job_id", F.lower("title"))
     each = _first_cards(each)
     slug = F.regexp_replace(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "-"), "^-+|-+$", "")
@@ -198,7 +202,7 @@ def parse(fetched: DataFrame) -> DataFrame:
 
 def payload_error(ats: Column, payload: Column) -> Column:
     """Why a payload is no listing of its source; null where it is one."""
-    p = F.trim(text(payload))
+    p = strip(payload)
     lists = ats.isin("lever", "rippling") & ~F.startswith(p, F.lit("["))
     cards = ((ats == "breezyhr") & ~F.contains(p, F.lit("/p/"))) | ((ats == "onlyfy") & ~F.contains(p, F.lit("/job/")))
     return F.when(p == "", "empty response").when(lists, "unexpected response").when(cards, "no job links in HTML").when((ats == "ashby") & ~F.contains(p, F.lit("__appData")), "no embedded data")
