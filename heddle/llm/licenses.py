@@ -32,7 +32,7 @@ SENTENCES = (
     ("BSD-", r"\bbsd ([23]) clause license\b"),
     ("BSD-NAME", r"\bbsd license\b"),
     ("ISC-GRANT", r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    ("MIT-GRANT", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("MIT-GRANT", r"permission is hereby granted free of charge to any person obtaining copy"),
     ("MIT-NOTICE", r"above copyright notice and this permission notice shall be included"),
     ("BSD-GRANT", r"redistribution and use in source and binary forms"),
     ("BSD-SOURCE", r"redistributions of source code must retain"),
