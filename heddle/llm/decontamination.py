@@ -30,7 +30,7 @@ from heddle.llm.common import ship, type_of
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 22
 #: Items go to the executors in blocks of at most so many characters; every block meets all documents.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 #: Distinct words that a Python worker remembers.
 CACHE_WORDS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
