@@ -66,7 +66,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever they run (once per application)."""
+    """Lets Python workers import this package wherever they run (once per application).
+
+    The archive is made beside the driver; Spark's own file server hands it to the executors.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_heddle_shipped", False):
         return
