@@ -7,11 +7,14 @@ the length of what the codes leave out. Equal vectors of a label are indexed onc
 Two unit vectors with a cosine of at least c lie within d = sqrt(2 - 2c) of each other. The search uses this twice:
 
 * Probes. A vector within d of q can be in the list of centroid b, rather than in that of q's nearest centroid a, only
-  if q is within d of the plane halfway between them: |q-b|^2 - |q-a|^2 <= 2 d |a-b|. All such lists are probed.
+  if it lies past the plane halfway between them: its offset from q must reach |q-b|^2 - |q-a|^2 over 2 |a-b| along
+  a-b. An offset of length d in any direction has a deviation of d / sqrt(dimensions) along a line; lists within
+  PROBE_DEVIATIONS of them are probed. At sqrt(dimensions) deviations no link can be lost, at three one in 700 of
+  those at the very threshold and far from q's own list.
 * Table look-ups. The asymmetric distance from q to a coded vector differs from the true one by at most the length
   the code leaves out, so codes farther than d plus that length are passed over.
 
-Neither loses a link. What remains is reranked by the exact cosine in double precision. Lists and queries are
+The latter loses no link. What remains is reranked by the exact cosine in double precision. Lists and queries are
 dealt in chunks by (label, list, chunk of vectors, chunk of queries), so no group grows with the table.
 """
 
@@ -36,6 +39,7 @@ SAMPLE = 20_000
 SUBSPACES, CODEWORDS, ROUNDS = 8, 256, 8
 #: Most vectors of a list, and most queries, in one group.
 LIST_CHUNK, QUERY_CHUNK = 2048, 4096
+PROBE_DEVIATIONS = 3.0
 _SLACK = 1e-6
 
 
@@ -174,7 +178,7 @@ def _search_group(shared, cosine: float):
     return run
 
 
-def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
+def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, sample: int = SAMPLE, deviations: float = PROBE_DEVIATIONS) -> DataFrame:
     """``(id, n_links, component, kept)`` for every row.
 
     Rows are compared within equal labels only. A null label, a null, empty or zero vector, and one with null or
@@ -210,7 +214,7 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     x /= np.sqrt((x**2).sum(1))[:, None]
     shared = spark.sparkContext.broadcast(fit_index(x, sizes["count"]))
 
-    reach = math.sqrt(max(0.0, 2 - 2 * cosine))
+    reach = math.sqrt(max(0.0, 2 - 2 * cosine)) * min(1.0, deviations / math.sqrt(sizes["dims"]))
     base = "label " + type_of(df, label_col) + ", v array<double>, copies long, class_id long"
     narrow = even.select("label", "v", "copies", "class_id")
     listed = materialise(narrow.mapInArrow(lambda b: _index_batches(b, shared), f"{base}, list int, codes binary, left_out double"), "lists")
