@@ -4,7 +4,7 @@ Training (on the driver, from a bounded sample of labelled rows): a token of a t
 its word or one of its beginnings is far more frequent among toxic documents than among clean ones (smoothed
 log-odds and their z-score). These token labels train a two-state chain: emissions are sums of weights of word
 features, the transitions are free, and gradients come from forward-backward. Document scores come from the chain's marginals by
-a logistic layer on their largest value, their log-scaled sum and their density.
+a logistic layer on their smoothed rate.
 
 Scoring runs over every token of every text. With two states the forward and backward vectors reduce to ratios that
 move by Moebius maps, so a batch's tokens are cut into lanes, each lane's map is composed in parallel, the lanes are
@@ -13,6 +13,7 @@ chained, and a second parallel pass fills in all marginals exactly; a very long
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from heddle.llm.common import ship, type_of
 
 #: The training sample: at most so many labelled rows of each class, in hash order, among texts up to so many characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 800, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 800, 12_000
 FOLDS = 5
 #: Features of fewer sampled documents than this are left out.
 MIN_DOCS = 3
@@ -136,33 +137,21 @@ def _transition_counts(forward: np.ndarray, backward: np.ndarray, e: np.ndarray,
 
 
 def _document_features(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A constant, the largest marginal, log(1 + their sum) and their density; zeros for an empty document."""
+    """A constant and the logarithm of the marginals' smoothed rate, scaled to a few units.
+
+    The rate is the sum of marginals over a hundred words more than the document has, so that a chance hit weighs
+    little in a short text and many words do not make up for it in a long one.
+    """
     ends = np.cumsum(lengths)
     sums = np.diff(np.concatenate([[0.0], np.cumsum(p)])[np.concatenate([[0], ends])])
-    most = np.zeros(len(lengths))
-    full = np.flatnonzero(lengths > 0)
-    if len(full):
-        most[full] = np.maximum.reduceat(p, (ends - lengths)[full])
-    return np.stack([np.ones(len(lengths)), most, np.log1p(np.maximum(sums, 0)), 100 * sums / np.maximum(lengths, 100)], 1)
-
-
-def toxic_stems(documents: list[set[str]], toxic: np.ndarray) -> set[str]:
-    """Stems whose document frequency among toxic documents is significantly above that among clean ones."""
-    counts: dict[str, list[int]] = {}
-    for found, label in zip(documents, toxic.tolist(), strict=True):
-        for x in found:
-            counts.setdefault(x, [0, 0])[label] += 1
-    n1 = max(int(toxic.sum()), 1)
-    n0 = max(len(toxic) - n1, 1)
-    marked = set()
-    for x, (c0, c1) in counts.items():
-        if x == "w=" or c1 < max(3, 0.01 * n1):
-            continue
-        odds = np.log((c1 + 0.5) / (n1 - c1 + 0.5)) - np.log((c0 + 0.5) / (n0 - c0 + 0.5))
-        error = np.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5) + 1 / (n1 - c1 + 0.5) + 1 / (n0 - c0 + 0.5))
-        if odds >= MIN_ODDS and (odds / error >= MIN_Z or (n1 < 30 and c0 == 0)):
-            marked.add(x)
-    return marked
+    return np.stack([np.ones(len(lengths)), 5 + np.log((np.maximum(sums, 0) + 0.1) / (lengths + 100))], 1)
+
+
+def marks_toxic(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Whether a feature of c1 among n1 toxic and c0 among n0 clean documents is far more frequent among the former."""
+    odds = np.log((c1 + 0.5) / (n1 - c1 + 0.5)) - np.log((c0 + 0.5) / (n0 - c0 + 0.5))
+    error = np.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5) + 1 / (n1 - c1 + 0.5) + 1 / (n0 - c0 + 0.5))
+    return (c1 >= max(3, 0.01 * n1)) & (odds >= MIN_ODDS) & ((odds / error >= MIN_Z) | ((n1 < 30) & (c0 == 0)))
 
 
 def fit(texts: list[bytes], labels: list[int], rounds: int = 60, decay: float = 1e-4) -> Model:
@@ -173,17 +162,29 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 60, decay: float =
     vocabulary: dict[bytes, int] = {}
     flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for words in split for w in words], np.int64)
     words = list(vocabulary)
-    by_word_stems = [stems(core(w)) for w in words]
-    bad = toxic_stems([{x for w in set(ws) for x in by_word_stems[vocabulary[w]]} for ws in split], y)
-    is_bad = np.array([any(x in bad for x in xs) for xs in by_word_stems], bool)
+    # Features are numbered, so that all the rest is arrays: of word i, feat_of[first[i] : first[i + 1]].
+    number: dict[str, int] = {}
+    feats, first = array("q"), array("q", [0])
+    for w in words:
+        feats.extend(number.setdefault(x, len(number)) for x in features(w))
+        first.append(len(feats))
+    feat_of, first_of = np.frombuffer(feats, np.int64) if feats else np.empty(0, np.int64), np.frombuffer(first, np.int64)
+    word_of = np.repeat(np.arange(len(words)), np.diff(first_of))
+    in_docs = np.zeros((2, len(number)), np.int64)
+    ends = np.cumsum(lengths)
+    for label, a, b in zip(y.tolist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
+        used = np.unique(flat[a:b])
+        in_docs[label, np.unique(np.concatenate([feat_of[first_of[i] : first_of[i + 1]] for i in used]) if len(used) else used)] += 1
+    is_stem = np.array([x[:2] in ("w=", "p=") and x != "w=" for x in number], bool)
+    n1 = max(int((y == 1).sum()), 1)
+    bad = is_stem & marks_toxic(in_docs[1], in_docs[0], n1, max(len(y) - n1, 1)) if len(number) else is_stem
+    is_bad = np.bincount(word_of, bad[feat_of], minlength=len(words)) > 0
     gold = (is_bad[flat] & np.repeat(y == 1, lengths)).astype(float) if len(flat) else np.empty(0)
-    by_word_feats, seen_in = [features(w) for w in words], {}
-    for ws in split:
-        for x in {x for w in set(ws) for x in by_word_feats[vocabulary[w]]}:
-            seen_in[x] = seen_in.get(x, 0) + 1
-    column = {x: k for k, x in enumerate(x for x, c in seen_in.items() if c >= MIN_DOCS)}
-    pairs = np.array([(i, column[x]) for i, xs in enumerate(by_word_feats) for x in xs if x in column], np.int64).reshape(-1, 2)
-    word_of, feat_of = pairs[:, 0], pairs[:, 1]
+    place = np.cumsum(in_docs.sum(axis=0) >= MIN_DOCS) - 1
+    kept = (in_docs.sum(axis=0) >= MIN_DOCS)[feat_of]
+    word_of, feat_of = word_of[kept], place[feat_of[kept]]
+    column = [x for x, c in zip(number, in_docs.sum(axis=0).tolist(), strict=True) if c >= MIN_DOCS]
+    del number, feats
     weights, bias, trans, start = np.zeros(len(column)), -2.0, np.zeros((2, 2)), 0.0
 
     def emitted() -> np.ndarray:
@@ -216,17 +217,22 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 60, decay: float =
             trans -= 0.3 * moves / np.sqrt(scale_t)
             scale_s += first**2
             start -= 0.3 * first / np.sqrt(scale_s)
-    model = Model(dict(zip(column, weights.tolist(), strict=True)), bias, trans, start, np.zeros(4))
+    model = Model(dict(zip(column, weights.tolist(), strict=True)), bias, trans, start, np.zeros(2))
     x = _document_features(marginals(emitted() if n else np.empty(0), lengths, trans, start)[0], lengths)
     if not len(y) or y.min() == y.max():
-        model.layer = np.array([4.0 if len(y) and y[0] else -4.0, 0, 0, 0])
+        model.layer = np.array([4.0 if len(y) and y[0] else -4.0, 0])
+        return model
+    # A toxic document without any marked token would only blur the layer: its label rests on what no feature shows.
+    per_doc = np.diff(np.concatenate([[0.0], np.cumsum(gold)])[np.concatenate([[0], ends])])
+    told = (y == 0) | (per_doc > 0)
+    x, y, layer = x[told], y[told], np.zeros(2)
+    if y.min() == y.max():
+        model.layer = np.array([-4.0, 0])
         return model
-    layer, share = np.zeros(4), y.mean()
-    balance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     for _ in range(50):  # Newton steps with a small ridge
         q = 1 / (1 + np.exp(-np.clip(x @ layer, -30, 30)))
-        h = (x * (balance * q * (1 - q))[:, None]).T @ x + np.eye(4)
-        layer -= np.linalg.solve(h, x.T @ (balance * (q - y)) + np.array([0, 1.0, 1.0, 1.0]) * layer)
+        h = (x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(2)
+        layer -= np.linalg.solve(h, x.T @ (q - y) + np.array([0, 0.1]) * layer)
     model.layer = layer
     return model
 
