@@ -16,7 +16,7 @@ a bucket yields a spanning forest of its links rather than all of its pairs, whi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -223,12 +223,12 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups_of: Callable[..., DataFrame] = near_duplicate_groups) -> DataFrame:
     """The rows with the smallest id of their component, with all their columns.
 
     Of rows with equal ids and that smallest id one stays. A row without an id cannot be named and stays.
     """
-    groups = materialise(near_duplicate_groups(docs, id_col, text_col).select("id", "component").where("id is not null"), "groups")
+    groups = materialise(groups_of(docs, id_col, text_col).select("id", "component").where("id is not null"), "groups")
     out = docs.join(groups.where("id <> component").select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
     repeated = groups.where("id = component").groupBy("id").count().where("count > 1").select(F.col("id").alias(id_col))
     if repeated.take(1):
