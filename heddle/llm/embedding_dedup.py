@@ -8,14 +8,14 @@ Two unit vectors with a cosine of at least c lie within d = sqrt(2 - 2c) of each
 
 * Probes. A vector within d of q can be in the list of centroid b, rather than in that of q's nearest centroid a, only
   if it lies past the plane halfway between them: its offset from q must reach |q-b|^2 - |q-a|^2 over 2 |a-b| along
-  a-b. An offset of length d in any direction has a deviation of d / sqrt(dimensions) along a line; lists within
-  PROBE_DEVIATIONS of them are probed. At sqrt(dimensions) deviations no link can be lost, at three one in 700 of
-  those at the very threshold and far from q's own list.
+  a-b. All lists within d are probed.
 * Table look-ups. The asymmetric distance from q to a coded vector differs from the true one by at most the length
   the code leaves out, so codes farther than d plus that length are passed over.
 
-The latter loses no link. What remains is reranked by the exact cosine in double precision. Lists and queries are
-dealt in chunks by (label, list, chunk of vectors, chunk of queries), so no group grows with the table.
+Neither loses a link. What remains is reranked by the exact cosine in double precision. A label's lists are joined to
+blocks of about LIST_CHUNK vectors, and a query goes to a block once, however many of its lists it probes; which these
+are is worked out again there. Groups are (label, block, chunk of vectors, chunk of queries), so none grows with the
+table.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.common import broadcast_if_small, materialise, ship, type_of
@@ -37,9 +37,8 @@ COSINE = 0.93
 #: The index is fitted on at most so many vectors, the first in hash order.
 SAMPLE = 20_000
 SUBSPACES, CODEWORDS, ROUNDS = 8, 256, 8
-#: Most vectors of a list, and most queries, in one group.
+#: About so many vectors of a block, and most queries, in one group.
 LIST_CHUNK, QUERY_CHUNK = 2048, 4096
-PROBE_DEVIATIONS = 3.0
 _SLACK = 1e-6
 
 
@@ -138,7 +137,8 @@ def _probe_batches(batches: Iterator[pa.RecordBatch], shared, reach: float) -> I
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             row, lists = probes(index, _unit(part.column("v")), reach)
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in part.columns), pa.array(lists.astype(np.int32))], names=[*part.schema.names, "list"])
+            ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("class_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(lists.astype(np.int32)))], names=["label", "class_id", "lists"])
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -158,7 +158,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _search_group(shared, cosine: float):
+def _search_group(shared, cosine: float, reach: float):
     def run(key: tuple, db: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         nothing = pd.DataFrame({"q": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
         if db.empty or queries.empty:
@@ -166,7 +166,16 @@ def _search_group(shared, cosine: float):
         x, q = (np.stack(d["v"].to_numpy()).astype(np.float64) for d in (db, queries))
         x, q = (y / np.sqrt((y**2).sum(1))[:, None] for y in (x, q))
         codes = np.frombuffer(b"".join(db["codes"]), np.uint8).reshape(len(db), -1)
-        i, k = search(shared.value, int(key[1]), x, codes, db["left_out"].to_numpy(), q, cosine)
+        left, lists = db["left_out"].to_numpy(), db["list"].to_numpy()
+        asking, asked = np.concatenate([np.stack(probes(shared.value, q[at : at + 1024], reach)) + [[at], [0]] for at in range(0, len(q), 1024)], 1)
+        order = np.argsort(asked, kind="stable")
+        asking, asked = asking[order], asked[order]
+        pairs = []
+        for a in np.unique(lists):
+            held, ask = np.flatnonzero(lists == a), asking[np.searchsorted(asked, a) : np.searchsorted(asked, a, "right")]
+            j, m = search(shared.value, int(a), x[held], codes[held], left[held], q[ask], cosine)
+            pairs.append((ask[j], held[m]))
+        i, k = (np.concatenate(y) for y in zip(*pairs, strict=True))
         ids, qids = db["class_id"].to_numpy(), queries["class_id"].to_numpy()
         other = ids[k] != qids[i]
         i, k = i[other], k[other]
@@ -178,9 +187,10 @@ def _search_group(shared, cosine: float):
     return run
 
 
-def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, sample: int = SAMPLE, deviations: float = PROBE_DEVIATIONS) -> DataFrame:
+def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, sample: int = SAMPLE, deviations: float = math.inf) -> DataFrame:
     """``(id, n_links, component, kept)`` for every row.
 
+    Probes reach ``deviations`` of a link's offset along a line past a cell's border, or its whole length if that is less.
     Rows are compared within equal labels only. A null label, a null, empty or zero vector, and one with null or
     non-finite components or another number of components than the table's most common one link with nothing. Equal
     vectors of a label link with each other. Rows with equal ids count as separate rows. ``component`` is the smallest
@@ -218,19 +228,29 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     base = "label " + type_of(df, label_col) + ", v array<double>, copies long, class_id long"
     narrow = even.select("label", "v", "copies", "class_id")
     listed = materialise(narrow.mapInArrow(lambda b: _index_batches(b, shared), f"{base}, list int, codes binary, left_out double"), "lists")
-    probing = narrow.mapInArrow(lambda b: _probe_batches(b, shared, reach), f"{base}, list int")
-    # A list of n vectors has ceil(n / LIST_CHUNK) chunks, and its queries as many as they need; each pair of
+    # Lists of a label side by side make a block of about LIST_CHUNK vectors; a longer list is one, in chunks.
+    counts = listed.groupBy("label", "list").count()
+    before = Window.partitionBy("label").orderBy("list").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.withColumn("block", F.floor(F.coalesce(F.sum("count").over(before), F.lit(0)) / LIST_CHUNK))
+    blocks = broadcast_if_small(materialise(blocks, "blocks"), 100_000)
+    # Probes are names alone until each query has one row for each of its blocks.
+    label_type = "label " + type_of(df, label_col)
+    probing = narrow.mapInArrow(lambda b: _probe_batches(b, shared, reach), f"{label_type}, class_id long, lists array<int>")
+    asked = probing.select("label", "class_id", F.explode("lists").alias("list")).join(blocks, ["label", "list"]).select("label", "block", "class_id").distinct()
+    asked = materialise(asked, "probes")
+    listed = listed.join(blocks.select("label", "list", "block"), ["label", "list"])
+    # A block of n vectors has ceil(n / LIST_CHUNK) chunks, and its queries as many as they need; each pair of
     # chunks is a group, and each side is copied to the chunks of the other.
-    asked = materialise(probing.select("label", "list", "class_id", "v"), "probes")
-    a = listed.groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / LIST_CHUNK).alias("n_db"))
-    b = asked.groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).alias("n_q"))
-    chunks = broadcast_if_small(materialise(a.join(b, ["label", "list"]), "chunks"), 100_000)
+    a = blocks.groupBy("label", "block").agg(F.ceil(F.sum("count") / LIST_CHUNK).alias("n_db"))
+    b = asked.groupBy("label", "block").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).alias("n_q"))
+    chunks = broadcast_if_small(materialise(a.join(b, ["label", "block"]), "chunks"), 100_000)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    db = listed.join(chunks, ["label", "list"]).withColumn("dc", F.pmod(F.xxhash64("class_id"), "n_db")).withColumn("qc", every("n_q"))
-    queries = asked.join(chunks, ["label", "list"]).withColumn("qc", F.pmod(F.xxhash64("class_id"), "n_q")).withColumn("dc", every("n_db"))
-    keys = ["label", "list", "dc", "qc"]
-    found = db.select(*keys, "class_id", "v", "copies", "codes", "left_out").groupBy(*keys).cogroup(queries.select(*keys, "class_id", "v").groupBy(*keys))
-    found = materialise(found.applyInPandas(_search_group(shared, cosine), "q long, v long, n long"), "found")
+    db = listed.join(chunks, ["label", "block"]).withColumn("dc", F.pmod(F.xxhash64("class_id"), "n_db")).withColumn("qc", every("n_q"))
+    queries = asked.join(narrow.select("class_id", "v"), "class_id").join(chunks, ["label", "block"])
+    queries = queries.withColumn("qc", F.pmod(F.xxhash64("class_id"), "n_q")).withColumn("dc", every("n_db"))
+    keys = ["label", "block", "dc", "qc"]
+    found = db.select(*keys, "list", "class_id", "v", "copies", "codes", "left_out").groupBy(*keys).cogroup(queries.select(*keys, "class_id", "v").groupBy(*keys))
+    found = materialise(found.applyInPandas(_search_group(shared, cosine, reach), "q long, v long, n long"), "found")
 
     linked = found.where("n > 0").groupBy(F.col("q").alias("class_id")).agg(F.sum("n").alias("n"))
     roots = materialise(components(found.where("v >= 0").select(F.col("q").alias("u"), "v")), "roots")
