@@ -36,7 +36,7 @@ FILE_IDS = 1 << 24
 CACHE_WORDS = 500_000
 _FOOTER, _CHUNK = struct.Struct("<QQII4s"), struct.Struct("<QI32I")
 #: A full stop or comma after an ASCII or Latin-1 letter and before white space.
-_LONE = re.compile(rb"[.,](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \n])")
+_LONE = re.compile(rb"[.,](?:(?<=[A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \n])")
 
 
 def planes(ids: np.ndarray) -> list[bytes]:
@@ -128,12 +128,15 @@ class WordEncoder:
         return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _split(self, text: bytes) -> list[bytes]:
-        """Words between ASCII white space. Lower-casing ASCII letters here changes no id, as the tokenizer does so
-        anyway, but for special tokens, which it looks for before; a lone full stop or comma between a letter and
+        """Words between ASCII white space. Lower-casing the letters of an ASCII text here changes no id, as the tokenizer
+        does so anyway, but for special tokens, which it looks for before; beside other characters it may, as the
+        tokenizer composes first and J has no composite where j has one. A lone full stop or comma between a letter and
         white space is a pre-token of its own, so it may stand apart and the word be found in the cache."""
         if b"<" in text and any(x in text.lower() for x in self.special):
             return text.split()
-        return _LONE.sub(rb" \g<0>", text.lower()).split()
+        if text.isascii():
+            return _LONE.sub(rb" \g<0>", text.lower()).split()
+        return [w.lower() if w.isascii() else w for w in _LONE.sub(rb" \g<0>", text).split()]
 
     def _learn(self, missing: list[bytes]) -> None:
         """Two generations of CACHE_WORDS: what is used again survives, the rest goes."""
