@@ -6,8 +6,12 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,3 +96,34 @@ def type_of(df: DataFrame, column: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_worker_memory: dict[str, dict] = {}
+
+
+def worker_memory(owner: str) -> dict:
+    """A dictionary that lasts as long as a Python worker serves one owner; those of other owners are let go.
+
+    Spark reuses workers, so what one operator remembers would else stay beside the memory of the next.
+    """
+    if owner not in _worker_memory:
+        _worker_memory.clear()
+        _worker_memory[owner] = {}
+    return _worker_memory[owner]
+
+
+def byte_slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows that hold at most ``most`` bytes together; a larger row is a run of its own."""
+    first = held = 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > first and held + n > most:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if first < len(lengths):
+        yield first, len(lengths)
+
+
+def byte_lengths(column: pa.Array) -> np.ndarray:
+    """Bytes of each value of a binary column; null: 0."""
+    return np.asarray(pc.fill_null(pc.binary_length(column), 0))

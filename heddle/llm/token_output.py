@@ -9,8 +9,11 @@ File format (all integers little-endian)::
     index: for each chunk its offset (u64), number of ids (u32) and 32 plane lengths (u32)
     footer: offset of lengths (u64), of index (u64), number of chunks (u32), of documents (u32), magic again
 
-Each task writes the files of one range of document ids under names of its own attempt, and a manifest table, which
-Spark commits, lists the files that count. A lost executor's half-written files are in no manifest.
+Each task writes the files of one range of document ids under names of its own attempt, block by block, and a manifest
+table, which Spark commits, lists the files that count. A lost executor's half-written files are in no manifest.
+
+Words are split, counted and put together by Arrow; only a slice's distinct words pass through Python, and of these only
+the ones that a bounded memory does not hold pass through the tokenizer.
 """
 
 from __future__ import annotations
@@ -20,55 +23,97 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import materialise, scratch_path, ship, type_of
+from heddle.llm.common import byte_lengths, byte_slices, materialise, scratch_path, ship, type_of, worker_memory
 
 MAGIC = b"BPL1"
 BLOCK = 1 << 16
-#: Ids of one file; a longer document still goes to one file whole.
-FILE_IDS = 1 << 24
-CACHE_WORDS = 500_000
+#: Ids, and documents, of one file; a longer document still goes to one file whole.
+FILE_IDS, FILE_DOCS = 1 << 24, 1 << 20
+#: Words that a worker remembers, and bytes of text that are split at a time.
+CACHE_WORDS, SLICE_BYTES = 800_000, 1 << 21
+#: Marks that are pre-tokens of their own after a letter and before white space.
+_LONE = (b".", b",")
 _FOOTER, _CHUNK = struct.Struct("<QQII4s"), struct.Struct("<QI32I")
-#: A full stop or comma after an ASCII or Latin-1 letter and before white space.
-_LONE = re.compile(rb"[.,](?:(?<=[A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \n])")
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: ASCII letters, and the last bytes of Latin-1 letters after 0xC3.
+_LETTERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_LATIN = frozenset(range(0x80, 0xC0)) - {0x97, 0xB7}
+#: Small letters of ASCII and Latin-1.
+_SMALL_ONLY = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 
 
 def planes(ids: np.ndarray) -> list[bytes]:
     """The 32 bit planes of a block of unsigned 32-bit ids; empty where no bit is set."""
-    raw = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     used = int(np.bitwise_or.reduce(ids)) if len(ids) else 0
-    return [np.packbits(raw[:, p], bitorder="little").tobytes() if used >> p & 1 else b"" for p in range(32)]
+    wide = -(-used.bit_length() // 8)
+    raw = np.unpackbits(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide]), axis=1, bitorder="little").T.copy() if wide else None
+    return [np.packbits(raw[p], bitorder="little").tobytes() if used >> p & 1 else b"" for p in range(32)]
 
 
 def from_planes(parts: list[bytes], n: int) -> np.ndarray:
-    bits = np.zeros((n, 32), np.uint8)
+    """The ids of a block; bytes whose planes are all empty cost nothing."""
+    wide = -(-max((p + 1 for p, part in enumerate(parts) if part), default=0) // 8)
+    bits = np.zeros((n, 8 * wide), np.uint8)
     for p, part in enumerate(parts):
         if part:
             bits[:, p] = np.unpackbits(np.frombuffer(part, np.uint8), count=n, bitorder="little")
-    return np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(-1)
+    out = np.zeros((n, 4), np.uint8)
+    if wide:
+        out[:, :wide] = np.packbits(bits, axis=1, bitorder="little")
+    return out.view("<u4").reshape(-1)
+
+
+class FileWriter:
+    """Writes one file to an open stream, a block of ids at a time."""
+
+    def __init__(self, out, level: int = 1):
+        import zstandard
+
+        self.out, self.pack = out, zstandard.ZstdCompressor(level=level).compress
+        self.at, self.index, self.waiting, self.held, self.lengths = len(MAGIC), bytearray(), [], 0, []
+        out.write(MAGIC)
+
+    def _block(self, ids: np.ndarray) -> None:
+        parts = [self.pack(x) if x else b"" for x in planes(ids)]
+        self.index += _CHUNK.pack(self.at, len(ids), *map(len, parts))
+        self.out.write(b"".join(parts))
+        self.at += sum(map(len, parts))
+
+    def add(self, ids: np.ndarray) -> None:
+        self.waiting.append(ids)
+        self.held += len(ids)
+        if self.held >= BLOCK:
+            ids = np.concatenate(self.waiting)
+            whole = len(ids) - len(ids) % BLOCK
+            for at in range(0, whole, BLOCK):
+                self._block(ids[at : at + BLOCK])
+            self.waiting, self.held = [ids[whole:]], len(ids) - whole
+
+    def close(self, lengths: np.ndarray) -> None:
+        """Ends the file of documents with these numbers of ids."""
+        if self.held:
+            self._block(np.concatenate(self.waiting))
+        packed = self.pack(lengths.astype("<u4").tobytes())
+        self.out.write(packed + bytes(self.index) + _FOOTER.pack(self.at, self.at + len(packed), len(self.index) // _CHUNK.size, len(lengths), MAGIC))
 
 
 def encode_file(ids: np.ndarray, lengths: np.ndarray, level: int = 1) -> bytes:
     """The file of documents with these ids, one after the other, and these numbers of ids."""
-    import zstandard
+    from io import BytesIO
 
-    pack, out, index = zstandard.ZstdCompressor(level=level).compress, bytearray(MAGIC), bytearray()
-    for at in range(0, len(ids), BLOCK):
-        block = ids[at : at + BLOCK]
-        parts = [pack(x) if x else b"" for x in planes(block)]
-        index += _CHUNK.pack(len(out), len(block), *map(len, parts))
-        out += b"".join(parts)
-    at_lengths = len(out)
-    out += pack(lengths.astype("<u4").tobytes())
-    at_index = len(out)
-    out += index + _FOOTER.pack(at_lengths, at_index, len(index) // _CHUNK.size, len(lengths), MAGIC)
-    return bytes(out)
+    writer = FileWriter(out := BytesIO(), level)
+    writer.add(ids)
+    writer.close(lengths)
+    return out.getvalue()
 
 
 def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +140,9 @@ def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordEncoder:
-    """Encodes whole UTF-8 texts; repeated words between ASCII white space come from a bounded cache.
+    """Encodes whole UTF-8 texts; repeated words between ASCII white space come from a bounded memory.
 
-    The cache is used only where it cannot change an id: the tokenizer must collapse white space, split on it, drop
+    The memory is used only where it cannot change an id: the tokenizer must collapse white space, split on it, drop
     it, and run no step across words. Any other tokenizer gets the whole text.
     """
 
@@ -120,50 +165,146 @@ class WordEncoder:
             and all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") for x in byte_level)
             and not any(re.search(r"\s", x["content"]) or x.get("lstrip") or x.get("rstrip") for x in spec["added_tokens"])
         )
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        #: How the pre-tokenizer writes Latin-1 letters, if the model can be asked for words of letters.
+        self.alphabet = None
+        if self.by_word and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout"):
+            write = self.whole.pre_tokenizer.pre_tokenize_str
+            letters = [c for c in map(chr, range(0xDF, 0x100)) if c != "÷"]
+            self.alphabet = str.maketrans({c: write(c)[0][0] for c in letters})
         self.special = [x["content"].lower().encode() for x in spec["added_tokens"]]
-
-    def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _split(self, text: bytes) -> list[bytes]:
-        """Words between ASCII white space. Lower-casing the letters of an ASCII text here changes no id, as the tokenizer
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Of each word its slot; slot k has the ids flat[ends[k - 1] : ends[k]].
+        self.slots: dict[bytes, int] = {}
+        self.flat, self.ends, self.n = np.empty(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0
+
+    def _fresh(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text)."""
+        ids = [x.ids for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _fresh_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of small ASCII and Latin-1 letters: they are composed, in lower case and one pre-token each,
+        so that only the byte alphabet and the model's merges are left to do."""
+        split = self.whole.model.tokenize
+        ids = [[t.id for t in split(w.decode() if w.isascii() else w.decode().translate(self.alphabet))] for w in words]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _plain(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word as the memory keeps it, and a mark after it. Lower-casing an ASCII word changes no id, as the tokenizer
         does so anyway, but for special tokens, which it looks for before; beside other characters it may, as the
-        tokenizer composes first and J has no composite where j has one. A lone full stop or comma between a letter and
-        white space is a pre-token of its own, so it may stand apart and the word be found in the cache."""
-        if b"<" in text and any(x in text.lower() for x in self.special):
-            return text.split()
-        if text.isascii():
-            return _LONE.sub(rb" \g<0>", text.lower()).split()
-        return [w.lower() if w.isascii() else w for w in _LONE.sub(rb" \g<0>", text).split()]
-
-    def _learn(self, missing: list[bytes]) -> None:
-        """Two generations of CACHE_WORDS: what is used again survives, the rest goes."""
-        old = self.older
-        fresh = [w for w in missing if w not in old]
-        self.words.update((w, old[w]) for w in missing if w in old)
-        self.words.update(zip(fresh, self._fresh([w.decode() for w in fresh]), strict=True))
+        tokenizer composes first and J has no composite where j has one. A lone full stop or comma after a letter is a
+        pre-token of its own."""
+        if b"<" in word and any(x in word.lower() for x in self.special):
+            return word, b""
+        mark = b""
+        if word[-1:] in _LONE and len(word) > 1 and (word[-2] in _LETTERS or (len(word) > 2 and word[-3] == 0xC3 and word[-2] in _LATIN)):
+            word, mark = word[:-1], word[-1:]
+        return (word.lower() if word.isascii() else word), mark
+
+    def _append(self, new: np.ndarray, lengths: np.ndarray) -> int:
+        """Puts ids into new slots; returns the first one's number."""
+        first, start = self.n, int(self.ends[self.n - 1]) if self.n else 0
+        while len(self.flat) < start + len(new):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while len(self.ends) < first + len(lengths):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[start : start + len(new)] = new
+        self.ends[first : first + len(lengths)] = start + np.cumsum(lengths)
+        self.n += len(lengths)
+        return first
+
+    def _ids_of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the slots one after the other, their numbers)."""
+        starts = np.where(slots > 0, self.ends[slots - 1], 0)
+        sizes = self.ends[slots] - starts
+        at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return self.flat[at], sizes
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Slots for new words."""
+        # Words of ASCII letters have no mark and are no special token.
+        plain = [(w.lower(), b"") if w.isalpha() else self._plain(w) for w in words]
+        known = self.slots
+        unknown = [w for w in {w for w, _ in plain} | {m for _, m in plain} if w not in known]
+        letters = list(filter(_SMALL_ONLY, unknown)) if self.alphabet is not None else []
+        if letters:
+            first = self._append(*self._fresh_words(letters))
+            self.slots.update(zip(letters, range(first, self.n), strict=True))
+            unknown = list(set(unknown).difference(letters))
+        if unknown:
+            first = self._append(*self._fresh([w.decode() for w in unknown]))
+            self.slots.update(zip(unknown, range(first, self.n), strict=True))
+        slots = self.slots
+        for raw, (w, m) in zip(words, plain, strict=True):
+            if not m and raw is not w:
+                slots[raw] = slots[w]
+        if marked := [(raw, slots[w], slots[m]) for raw, (w, m) in zip(words, plain, strict=True) if m]:
+            pairs = np.array([pair for _, *pair in marked], np.int64).reshape(-1)
+            ids, sizes = self._ids_of(pairs)
+            first = self._append(ids, sizes[::2] + sizes[1::2])
+            slots.update((raw, first + i) for i, (raw, *_) in enumerate(marked))
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) of a string array without nulls."""
+        if not self.by_word:
+            return self._fresh(texts.to_pylist())
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_pylist()
+        got = list(map(self.slots.get, distinct))
+        if missing := [w for w, s in zip(distinct, got, strict=True) if s is None]:
+            if len(self.slots) + len(missing) > CACHE_WORDS:
+                self._forget()
+                missing = distinct
+            self._learn(missing)
+            slots = self.slots
+            got = list(map(slots.__getitem__, distinct)) if missing is distinct else [slots[w] if s is None else s for w, s in zip(distinct, got, strict=True)]
+            for w in missing:
+                if len(w) > 64:  # long words come once and would hold much
+                    del slots[w]
+        ids, sizes = self._ids_of(np.array(got, np.int64))
+        # Each distinct word's ids side by side, and then, by Arrow, each word's.
+        table = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        out = pa.ListArray.from_arrays(table, pa.array(ids)).take(words.indices).flatten().to_numpy()
+        per_word = np.concatenate([[0], np.cumsum(sizes[words.indices.to_numpy()])])
+        return out, np.diff(per_word[split.offsets.to_numpy() - split.offsets[0].as_py()])
+
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first, end, ids, number of ids of each text) of runs of a binary or string array's rows; nulls count as empty.
+
+        A text beyond SLICE_BYTES is worked on in pieces, and its run comes once with each: its ids and their numbers add up.
+        """
+        texts = pc.fill_null(texts if pa.types.is_binary(texts.type) else texts.cast(pa.binary()), b"")
+        for a, b in byte_slices(byte_lengths(texts), SLICE_BYTES):
+            if b - a > 1 or not self.by_word:
+                yield a, b, *self._slice(texts.slice(a, b - a).cast(pa.string()))
+                continue
+            text, at = texts[a].as_py(), 0
+            while True:
+                cut = _SPACE.search(text, at + SLICE_BYTES) if len(text) - at > SLICE_BYTES else None
+                end = cut.start() if cut else len(text)
+                yield a, b, *self._slice(pa.array([text[at:end].decode()], pa.string()))
+                if end == len(text):
+                    break
+                at = end
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        if not self.by_word:
-            return self._fresh([(t or b"").decode() for t in texts])
-        out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            split = [self._split(t or b"") for t in texts[at : at + 64]]
-            seen = set().union(*split)
-            if len(self.words) > CACHE_WORDS:
-                self.words, self.older = {}, self.words
-            self._learn(list(seen.difference(self.words)))
-            got = self.words.__getitem__
-            out += [b"".join(map(got, words)) for words in split]
+        out = [b""] * len(texts)
+        for a, b, ids, lengths in self.slices(pa.array(texts, pa.binary())):
+            ends = np.cumsum(lengths)
+            for i, (x, y) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), strict=True)):
+                out[a + i] += ids[x:y].astype("<u4").tobytes()
         return out
 
 
-@cache
 def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    memory = worker_memory("token output")
+    if path not in memory:
+        memory[path] = WordEncoder(path)
+    return memory[path]
 
 
 @lru_cache(maxsize=8)
@@ -177,11 +318,10 @@ def _uri(path: str) -> str:
     return re.sub(r"^file:/+", "file:///", path) if "://" in path or path.startswith("file:") else f"file://{path}"
 
 
-def _write(folder: str, name: str, data: bytes) -> None:
+def _open(folder: str, name: str):
     fs, base = _filesystem(_uri(folder))
     fs.create_dir(base, recursive=True)
-    with fs.open_output_stream(f"{base}/{name}") as out:
-        out.write(data)
+    return fs.open_output_stream(f"{base}/{name}")
 
 
 def _read(path: str) -> bytes:
@@ -196,35 +336,52 @@ def _write_batches(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: st
     from pyspark import TaskContext
 
     task = TaskContext.get()
-    encode, end = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-    ids: list[bytes] = []
+    encode = _encoder(tokenizer)
     docs: list[pa.Array] = []
-    n = number = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal ids, docs, n, number
-        name = f"part-{task.partitionId():06d}-{number:05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.bpl"
-        lengths = np.array([len(x) // 4 for x in ids], "<u4")
-        data = np.frombuffer(b"".join(ids), "<u4")
-        _write(folder, name, encode_file(data, lengths))
+    lengths: list[np.ndarray] = []
+    n = n_docs = number = 0
+    writer = None
+
+    def flush() -> pa.RecordBatch:
+        nonlocal docs, lengths, n, n_docs, number, writer
+        writer.close(np.concatenate(lengths))
+        writer.out.close()
         keys = pa.concat_arrays(docs)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([task.partitionId()], pa.int32()), pa.array([number], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(data)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)],
+        row = pa.RecordBatch.from_arrays(
+            [pa.array([task.partitionId()], pa.int32()), pa.array([number], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)],
             names=["part", "number", "path", "n_ids", "docs"],
         )
-        ids, docs, n, number = [], [], 0, number + 1
+        docs, lengths, n, n_docs, number, writer = [], [], 0, 0, number + 1, None
+        return row
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """(document ids, their ids with the end id, numbers of ids); a long text's pieces but the last have no document."""
+        nothing, before = batch.column(0).slice(0, 0), 0
+        found = encode.slices(batch.column(1))
+        now = next(found, None)
+        while now is not None:
+            (a, b, ids, counts), now = now, next(found, None)
+            if now is not None and now[0] == a:
+                yield nothing, ids, np.empty(0, np.int64)
+                before += len(ids)
+            else:
+                # Pieces of a long text stand alone in their run, so what went before belongs to its one document.
+                yield batch.column(0).slice(a, b - a), np.insert(ids, np.cumsum(counts), end_id), counts + 1 + before
+                before = 0
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            piece = batch.slice(at, 64)
-            got = [x + end for x in encode(piece.column(1).to_pylist())]
-            ids += got
-            docs.append(piece.column(0))
-            n += sum(map(len, got)) // 4
-            if n >= FILE_IDS:
-                yield from flush()
-    if ids:
-        yield from flush()
+        for keys, ids, counts in rows(batch):
+            if writer is None:
+                name = f"part-{task.partitionId():06d}-{number:05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.bpl"
+                writer = FileWriter(_open(folder, name))
+            writer.add(ids.astype("<u4", copy=False))
+            docs.append(keys)
+            lengths.append(counts)
+            n, n_docs = n + len(ids), n_docs + len(keys)
+            if len(keys) and (n >= FILE_IDS or n_docs >= FILE_DOCS):
+                yield flush()
+    if writer is not None:
+        yield flush()
 
 
 def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,11 +389,15 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, i
 
     Returns the manifest ``(part, number, path, n_ids, docs, base)``: docs holds the file's document ids in order and
     base counts the ids of all files before it. Null texts are empty. Ids that are null come first; rows with equal
-    ids stand side by side, longer texts last, so reruns agree. An empty table writes no file.
+    ids stand side by side, longer texts last, then by a hash, so reruns agree. A very long text is encoded in pieces.
+    An empty table writes no file.
     """
     ship(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    ranged = rows.repartitionByRange(F.col("id")).sortWithinPartitions("id", F.octet_length("text"), "text")
+    # Rows that share an id, or have none, are ranged by their texts, so that they need not meet in one task.
+    rows = rows.withColumns({"size": F.octet_length("text"), "hash": F.xxhash64("text")})
+    order = ["id", "size", "hash"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("id", "text")
     schema = f"part int, number int, path string, n_ids long, docs array<{type_of(df, id_col)}>"
     manifest = materialise(ranged.mapInArrow(lambda b: _write_batches(b, folder, tokenizer, end_id), schema), "manifest")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
