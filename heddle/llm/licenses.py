@@ -17,17 +17,22 @@ from pyspark.sql import functions as F
 #: (lower case, words of letters, digits, dots and plus signs, one space apart).
 #: A pattern's first group, if any, is appended to the identifier.
 SENTENCES = (
-    ("SPDX-", r"spdx license identifier (apache 2\.0|mit|bsd [23] clause|gpl [23]\.0|lgpl [23]\.[01]|mpl 2\.0)"),
-    ("LGPL-", r"gnu (?:lesser|library) general public license version ([0-9](?:\.[0-9])?)"),
-    ("AGPL-", r"gnu affero general public license version ([0-9](?:\.[0-9])?)"),
-    ("GPL-", r"gnu general public license version ([0-9](?:\.[0-9])?)"),
+    ("SPDX-", r"spdx license identifier (apache 2\.0|mit|isc|bsd [23] clause|a?gpl 3\.0 or later|a?gpl 3\.0|gpl 2\.0 or later|gpl 2\.0|lgpl (?:2\.1|3\.0) or later|lgpl (?:2\.1|3\.0)|mpl 2\.0|cc0 1\.0)"),
+    ("LGPL-LATER-", r"gnu (?:lesser|library) general public license.{0,160} (?:version|v\.?) ?(2\.1|2|3)(?:\.0)?\b.{0,160}any later version"),
+    ("LGPL-", r"gnu (?:lesser|library) general public license.{0,160} (?:version|v\.?) ?(2\.1|2|3)(?:\.0)?(?: |$)"),
+    ("AGPL-LATER-", r"gnu affero general public license.{0,160} (?:version|v\.?) ?(3)(?:\.0)?\b.{0,160}any later version"),
+    ("AGPL-", r"gnu affero general public license.{0,160} (?:version|v\.?) ?(3)(?:\.0)?(?: |$)"),
+    ("GPL-LATER-", r"gnu general public license.{0,160} (?:version|v\.?) ?([1-3])(?:\.0)?\b.{0,160}any later version"),
+    ("GPL-", r"gnu general public license.{0,160} (?:version|v\.?) ?([1-3])(?:\.0)?(?: |$)"),
+    ("LGPL-ANY", r"gnu (?:lesser|library) general public license|\blgpl\b"),
+    ("AGPL-ANY", r"gnu affero general public license|\bagpl\b"),
     ("GPL-ANY", r"gnu general public license|\bgpl\b"),
-    ("LATER", r"^or at your option any later version$|any later version"),
-    ("APACHE-", r"apache license version ([0-9](?:\.[0-9])?)"),
+    ("LATER", r"any later version"),
+    ("APACHE-", r"apache license (?:version |v\.? ?)?(1\.1|2\.0)"),
     ("APACHE-ANY", r"under apache license"),
-    ("CC-", r"(?:cc|creative commons) (by nc nd|by nc sa|by nc|by nd|by sa|by) [0-9]"),
+    ("CC-", r"(?:cc|creative commons) ((?:by nc nd|by nc sa|by nc|by nd|by sa|by) (?:2\.0|2\.5|3\.0|4\.0))"),
     ("CC0", r"\bcc0\b"),
-    ("MPL-", r"mozilla public license (?:version|v\.?) ?([0-9](?:\.[0-9])?)"),
+    ("MPL-", r"mozilla public license (?:version |v\.? ?)?(1\.1|2\.0)"),
     ("MIT-NAME", r"\bmit license\b"),
     ("BSD-", r"\bbsd ([23]) clause license\b"),
     ("BSD-NAME", r"\bbsd license\b"),
@@ -53,34 +58,90 @@ RULES = (
     ("MIT", "MIT-GRANT MIT-NOTICE"),
     ("ISC", "ISC-GRANT AS-IS"),
     ("ISC", "ISC-GRANT"),
+    ("GPL-3.0-or-later", "GPL-LATER-3"),
     ("GPL-3.0-or-later", "GPL-3 LATER"),
+    ("GPL-2.0-or-later", "GPL-LATER-2"),
     ("GPL-2.0-or-later", "GPL-2 LATER"),
+    ("GPL-1.0-or-later", "GPL-LATER-1"),
+    ("GPL-1.0-or-later", "GPL-1 LATER"),
+    ("LGPL-3.0-or-later", "LGPL-LATER-3"),
     ("LGPL-3.0-or-later", "LGPL-3 LATER"),
+    ("LGPL-2.1-or-later", "LGPL-LATER-2.1"),
     ("LGPL-2.1-or-later", "LGPL-2.1 LATER"),
+    ("LGPL-2.0-or-later", "LGPL-LATER-2"),
+    ("LGPL-2.0-or-later", "LGPL-2 LATER"),
+    ("AGPL-3.0-or-later", "AGPL-LATER-3"),
+    ("AGPL-3.0-or-later", "AGPL-3 LATER"),
     ("GPL-3.0-only", "GPL-3"),
     ("GPL-2.0-only", "GPL-2"),
+    ("GPL-1.0-only", "GPL-1"),
     ("LGPL-3.0-only", "LGPL-3"),
     ("LGPL-2.1-only", "LGPL-2.1"),
+    ("LGPL-2.0-only", "LGPL-2"),
     ("AGPL-3.0-only", "AGPL-3"),
     ("Apache-2.0", "APACHE-2.0"),
+    ("Apache-1.1", "APACHE-1.1"),
     ("Apache-2.0", "SPDX-apache-2.0"),
     ("MIT", "SPDX-mit"),
+    ("ISC", "SPDX-isc"),
+    ("BSD-2-Clause", "SPDX-bsd-2-clause"),
+    ("BSD-3-Clause", "SPDX-bsd-3-clause"),
+    ("GPL-3.0-or-later", "SPDX-gpl-3.0-or-later"),
+    ("GPL-3.0-only", "SPDX-gpl-3.0"),
+    ("GPL-2.0-or-later", "SPDX-gpl-2.0-or-later"),
+    ("GPL-2.0-only", "SPDX-gpl-2.0"),
+    ("LGPL-3.0-or-later", "SPDX-lgpl-3.0-or-later"),
+    ("LGPL-3.0-only", "SPDX-lgpl-3.0"),
+    ("LGPL-2.1-or-later", "SPDX-lgpl-2.1-or-later"),
+    ("LGPL-2.1-only", "SPDX-lgpl-2.1"),
+    ("AGPL-3.0-or-later", "SPDX-agpl-3.0-or-later"),
+    ("AGPL-3.0-only", "SPDX-agpl-3.0"),
+    ("MPL-2.0", "SPDX-mpl-2.0"),
+    ("CC0-1.0", "SPDX-cc0-1.0"),
     ("MIT", "MIT-NAME"),
     ("BSD-3-Clause", "BSD-3"),
     ("BSD-2-Clause", "BSD-2"),
     ("MPL-2.0", "MPL-2.0"),
-    ("CC-BY-NC-ND-4.0", "CC-by-nc-nd"),
-    ("CC-BY-NC-SA-4.0", "CC-by-nc-sa"),
-    ("CC-BY-NC-4.0", "CC-by-nc"),
-    ("CC-BY-ND-4.0", "CC-by-nd"),
-    ("CC-BY-SA-4.0", "CC-by-sa"),
-    ("CC-BY-4.0", "CC-by"),
+    ("MPL-1.1", "MPL-1.1"),
+    ("CC-BY-NC-ND-4.0", "CC-by-nc-nd-4.0"),
+    ("CC-BY-NC-ND-3.0", "CC-by-nc-nd-3.0"),
+    ("CC-BY-NC-ND-2.5", "CC-by-nc-nd-2.5"),
+    ("CC-BY-NC-ND-2.0", "CC-by-nc-nd-2.0"),
+    ("CC-BY-NC-SA-4.0", "CC-by-nc-sa-4.0"),
+    ("CC-BY-NC-SA-3.0", "CC-by-nc-sa-3.0"),
+    ("CC-BY-NC-SA-2.5", "CC-by-nc-sa-2.5"),
+    ("CC-BY-NC-SA-2.0", "CC-by-nc-sa-2.0"),
+    ("CC-BY-NC-4.0", "CC-by-nc-4.0"),
+    ("CC-BY-NC-3.0", "CC-by-nc-3.0"),
+    ("CC-BY-NC-2.5", "CC-by-nc-2.5"),
+    ("CC-BY-NC-2.0", "CC-by-nc-2.0"),
+    ("CC-BY-ND-4.0", "CC-by-nd-4.0"),
+    ("CC-BY-ND-3.0", "CC-by-nd-3.0"),
+    ("CC-BY-ND-2.5", "CC-by-nd-2.5"),
+    ("CC-BY-ND-2.0", "CC-by-nd-2.0"),
+    ("CC-BY-SA-4.0", "CC-by-sa-4.0"),
+    ("CC-BY-SA-3.0", "CC-by-sa-3.0"),
+    ("CC-BY-SA-2.5", "CC-by-sa-2.5"),
+    ("CC-BY-SA-2.0", "CC-by-sa-2.0"),
+    ("CC-BY-4.0", "CC-by-4.0"),
+    ("CC-BY-3.0", "CC-by-3.0"),
+    ("CC-BY-2.5", "CC-by-2.5"),
+    ("CC-BY-2.0", "CC-by-2.0"),
     ("CC0-1.0", "CC0"),
+    ("LGPL", "LGPL-ANY"),
+    ("AGPL", "AGPL-ANY"),
     ("GPL", "GPL-ANY"),
     ("Apache", "APACHE-ANY"),
     ("BSD", "BSD-NAME"),
     ("Public-Domain", "PUBLIC-DOMAIN"),
 )
+#: Before cutting: the stop of a "v." before a number goes, and line breaks go that wrap a sentence, with the marks of
+#: comments after them: those before a small letter or a parenthesis, and those after a comma or a word that needs another.
+UNWRAP = (
+    (r"\b([vV])\.[ \t]*([0-9])", "1 2"),
+    (r"(,|\bGNU|\bGNU General|\bGeneral Public|\bPublic|\bMozilla|\bApache|\bCreative|\bFree|\bthe|\bof|\bunder)[ \t\r]*\n[ \t*#/]*([A-Za-z0-9(])", "1 2"),
+    (r"\n[ \t\r*#/]*([a-z(])", " 1"),
+)
 SPLIT = r"[.!?;]+[ \t\r\n]+|\n"
 #: Substrings of a lower-cased sentence without which it is no licence sentence.
 NEEDS = ("licen", "gpl", "later version", "permission", "redistribution", "neither", "public domain", "rights reserved", "as is", "cc")
@@ -93,6 +154,13 @@ def _has_any(text: Column) -> Column:
     return found
 
 
+def unwrapped(text: Column) -> Column:
+    """The text by :data:`UNWRAP`."""
+    for pattern, keep in UNWRAP:
+        text = F.regexp_replace(text, pattern, "".join(f"${x}" if x.isdigit() else x for x in keep))
+    return text
+
+
 def normal_sentence(sentence: Column) -> Column:
     """Lower case; commas, quotes, hyphens and other marks as spaces; no articles; no stop at the end; one space."""
     words = F.regexp_replace(F.lower(sentence), r"[^a-z0-9.+]+", " ")
@@ -134,7 +202,7 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    candidates = F.filter(F.split(text, SPLIT), lambda x: _has_any(F.lower(x)))
+    candidates = F.filter(F.split(unwrapped(text), SPLIT), lambda x: _has_any(F.lower(x)))
     ids = F.filter(F.transform(candidates, lambda x: sentence_id(normal_sentence(x))), lambda x: x.isNotNull())
     rows = rows.select("id", F.when(_has_any(F.lower(text)), ids).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
     return rows.withColumn("licenses", F.when(F.size("sentence_ids") > 0, matched(F.col("sentence_ids"))).otherwise(F.array().cast("array<string>")))
@@ -148,7 +216,10 @@ def oracle(table: str = "documents") -> str:
     cases = " ".join(
         f"when regexp_matches(x, {quote(p)}) then " + (f"{quote(n)} || replace(regexp_extract(x, {quote(p)}, 1), ' ', '-')" if n.endswith("-") else quote(n)) for n, p in SENTENCES
     )
-    ids = f"list_filter(list_transform(list_transform(list_filter(string_split_regex(coalesce(text, ''), {quote(SPLIT)}), lambda x: {needs('lower(x)')}), lambda x: {normal}), lambda x: case {cases} end), lambda x: x is not null)"
+    whole = "coalesce(text, '')"
+    for pattern, keep in UNWRAP:
+        whole = f"regexp_replace({whole}, {quote(pattern)}, {quote(''.join(chr(92) + x if x.isdigit() else x for x in keep))}, 'g')"
+    ids = f"list_filter(list_transform(list_transform(list_filter(string_split_regex({whole}, {quote(SPLIT)}), lambda x: {needs('lower(x)')}), lambda x: {normal}), lambda x: case {cases} end), lambda x: x is not null)"
     sql = f"select doc_id, ids, ' ' || array_to_string(ids, ' ') || ' ' as left_, '' as found from (select doc_id, {ids} as ids from {table})"
     for name, seq in RULES:
         hit = f"contains(left_, {quote(f' {seq} ')})"
