@@ -12,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parents[1]
@@ -90,6 +90,38 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if len(df.select(F.lit(1)).take(max_rows + 1)) <= max_rows else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores after it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_keyed(docs: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """``docs`` with a column ``key`` that no two rows share: a struct (none, id, digest, nth), none where the id is null.
+
+    It orders as the ids do, null ids last, and is the same whenever it is computed, wherever the rows lie. Rows that agree in
+    id and text are numbered in the order of a hash of all their columns, one task for each such pair that repeats;
+    which of two wholly equal rows gets which number makes no difference.
+    """
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
+    parts = [F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("digest")]
+    pair, nth = unused(docs, f"{key}_pair"), unused(docs, f"{key}_nth")
+    paired = docs.withColumn(pair, F.struct(*parts))
+
+    def with_key(df: DataFrame, number: Column) -> DataFrame:
+        return df.select(*docs.columns, F.struct(*(F.col(pair)[x].alias(x) for x in ("none", "id", "digest")), number.cast("int").alias("nth")).alias(key))
+
+    repeated = paired.groupBy(pair).count().where("count > 1").select(pair)
+    if not repeated.take(1):
+        return with_key(paired, F.lit(1))
+    repeated = materialise(repeated, "repeated")
+    among = Window.partitionBy(pair).orderBy(F.xxhash64(*docs.columns))
+    numbered = paired.join(repeated, pair, "left_semi").withColumn(nth, F.row_number().over(among))
+    return with_key(paired.join(repeated, pair, "left_anti"), F.lit(1)).unionByName(with_key(numbered, F.col(nth)))
+
+
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 

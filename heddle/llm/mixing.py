@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import WORD, broadcast_if_small, materialise
+from heddle.llm.common import WORD, broadcast_if_small, materialise, row_keyed, unused
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -30,8 +30,8 @@ LARGE_SHARE = 2048
 BUCKET_ROWS = 2048
 #: Up to so many sources are broadcast; beyond it Spark joins them by shuffle.
 BROADCAST_SOURCES = 10_000
-#: A prime above any number of blocks that a multiplier may share a factor with at this size; permutes block numbers.
-_PRIME = 100_000_007
+#: Rounds of the permutation of block numbers.
+ROUNDS = 48
 _SEED = 20_011
 
 
@@ -91,6 +91,19 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
     return F.aggregate(F.sequence(start, end), first, find)["k"]
 
 
+def permuted(x: Column, n: Column, key: Column, seed: int = _SEED) -> Column:
+    """The place of x in a pseudorandom permutation of 0 to n - 1 that ``key`` names, by a swap-or-not shuffle.
+
+    Each round pairs x with k - x modulo n for a k of its own, and swaps a pair or not by a hash of its larger member.
+    """
+
+    def swap(at: Column, i: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(F.lit(seed), key, i), n) - at, n)
+        return F.when(F.pmod(F.xxhash64(F.lit(seed), key, i, F.greatest(at, other)), F.lit(2)) == 1, other).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), swap)
+
+
 def splitting_tree(blocks: DataFrame, levels: int, seed: int = _SEED) -> DataFrame:
     """``blocks(rank, n)`` -> ``(shard, rank, quota)``: the blocks of each source for each of 2^levels shards."""
     root = blocks.agg(F.array_sort(F.collect_list(F.struct("rank", F.col("n").cast("long").alias("n")))).alias("all"))
@@ -112,15 +125,15 @@ def splitting_tree(blocks: DataFrame, levels: int, seed: int = _SEED) -> DataFra
     return leaves.select("shard", F.col("ranks").alias("rank"), F.col("counts").alias("quota"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int = SHARD_LEVELS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int = SHARD_LEVELS, block_words: int = BLOCK_WORDS, key_col: str | None = None) -> DataFrame:
     """``(id, size, source_size, target, draws)`` for every input row.
 
     draws lists the row's copies in the mix as structs (shard, place): the output shard, and the key by which the
     shard orders its rows. Texts without words are never drawn; null texts have size 0; null sources form one source;
-    ids may be null or repeated. Other columns are ignored, whatever their names. Runs on equal input agree.
+    ids may be null or repeated, and texts then tell rows apart; ``key_col``, if any, comes back as id. Other columns are ignored, whatever their names. Runs on equal input agree.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = materialise(rows.withColumn("h", F.xxhash64(F.lit(_SEED), "id")), "sizes")
+    rows = df.select(F.col(key_col or id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(_SEED), id_col, text_col).alias("h"))
+    rows = materialise(rows, "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     sources = source_targets(sizes.select("source", "source_size")).join(sizes.select(F.col("source").alias("s"), "n_rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(MAX_REPEATS), F.floor(F.col("target") / F.col("source_size")))).otherwise(F.lit(0)).cast("long")
@@ -137,11 +150,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     def take(state: Column, x: Column) -> Column:
         due = (state["before"] + x["size"]) * state["part"] - state["taken"] >= x["size"] / 2
-        one = F.struct(x["id"].alias("id"), x["size"].alias("size"), state["before"].alias("before"), due.alias("extra"))
+        one = F.struct(x["id"].alias("id"), x["size"].alias("size"), x["h"].alias("h"), state["before"].alias("before"), due.alias("extra"))
         return F.struct((state["before"] + x["size"]).alias("before"), (state["taken"] + F.when(due, x["size"]).otherwise(F.lit(0))).alias("taken"), state["part"].alias("part"), F.array_append(state["out"], one).alias("out"))
 
     kind = rows.schema["id"].dataType.simpleString()
-    start = F.struct(F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("taken"), F.col("part"), F.array().cast(f"array<struct<id:{kind},size:bigint,before:bigint,extra:boolean>>").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("taken"), F.col("part"), F.array().cast(f"array<struct<id:{kind},size:bigint,h:bigint,before:bigint,extra:boolean>>").alias("out"))
     large = placed.where(is_large).groupBy("rank").agg(F.max(part).alias("part"), F.array_sort(F.collect_list(order)).alias("docs"))
     large = materialise(large.select("rank", F.aggregate("docs", start, take).alias("r")).select("rank", "r.before", "r.taken", "r.out"), "large")
 
@@ -163,8 +176,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     quotas = quotas.withColumn("upto", F.sum("quota").over(upto)).groupBy("rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "upto"))), lambda x: x["upto"]).alias("ranges"))
     plan = plan.select("rank", "source_size", "target", "whole", "n", "large_words", "small_due").join(quotas, "rank", "left")
 
-    taken = large.select("rank", F.inline("out")).select("rank", "id", "size", "before", "extra", F.lit(False).alias("small"))
-    taken = taken.unionByName(small.select("rank", "id", "size", "before", F.lit(False).alias("extra"), F.lit(True).alias("small")))
+    taken = large.select("rank", F.inline("out")).select("rank", "id", "size", "h", "before", "extra", F.lit(False).alias("small"))
+    taken = taken.unionByName(small.select("rank", "id", "size", "h", "before", F.lit(False).alias("extra"), F.lit(True).alias("small")))
     taken = taken.join(broadcast_if_small(plan, BROADCAST_SOURCES), "rank")
     extra = F.when(F.col("small"), F.col("before") + F.col("size") / 2 <= F.col("small_due")).otherwise(F.col("extra"))
     copies = F.when(F.col("size") > 0, F.col("whole") + extra.cast("long")).otherwise(F.lit(0))
@@ -172,9 +185,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     def place(epoch: Column) -> Column:
         block = F.least(F.floor((epoch * F.col("source_size") + spot) / block_words), F.col("n") - 1)
-        turn = F.pmod(block * _PRIME + F.pmod(F.xxhash64(F.lit(_SEED), "rank"), "n"), F.col("n"))
+        turn = permuted(block, F.col("n"), F.col("rank"))
         shard = F.size(F.filter("ranges", lambda x: x <= turn))
-        return F.struct(shard.alias("shard"), F.xxhash64(F.lit(_SEED), shard, F.col("id"), epoch).alias("place"))
+        return F.struct(shard.alias("shard"), F.xxhash64(F.lit(_SEED), shard, F.col("h"), epoch).alias("place"))
 
     draws = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), place)).otherwise(F.array().cast("array<struct<shard:int,place:bigint>>"))
     return taken.withColumn("copies", copies.cast("int")).select("id", "size", "source_size", "target", draws.alias("draws"))
@@ -187,15 +200,14 @@ def mixed_shards(mixed: DataFrame) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix as rows of ``docs`` with all their columns, each as often as it is drawn.
+    """The mix as rows of ``docs`` with all their columns, each as often as it is drawn, in their shards' order.
 
-    Ids must be unique but for nulls; rows without an id all come as often as such rows are drawn on average.
+    Ids may repeat or be null, as rows are told apart by :func:`row_keyed`. Null and wordless texts are never drawn; a
+    null source is a source of its own; very long texts are counted whole; an empty table gives an empty one.
     """
-    drawn = mix(docs, id_col, text_col, source_col)
-    copies = drawn.where("id is not null").select(F.col("id").alias("_drawn_id"), F.size("draws").alias("_copies")).where("_copies > 0")
-    named = docs.join(copies, docs[id_col] == copies["_drawn_id"])
-    nameless = docs.where(docs[id_col].isNull())
-    if nameless.take(1):
-        often = drawn.where("id is null").select(F.size("draws").alias("_copies")).agg(F.coalesce(F.round(F.avg("_copies")), F.lit(0)).cast("int")).first()[0]
-        named = named.unionByName(nameless.withColumns({"_drawn_id": F.lit(None).cast(docs.schema[id_col].dataType), "_copies": F.lit(often)}).where("_copies > 0"))
-    return named.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    row, shard, place = (unused(docs, x) for x in ("_row", "_shard", "_place"))
+    keyed = row_keyed(docs, id_col, text_col, row)
+    drawn = mix(keyed, id_col, text_col, source_col, key_col=row)
+    copies = drawn.select(F.col("id").alias(row), F.inline("draws")).select(row, F.col("shard").alias(shard), F.col("place").alias(place))
+    rows = keyed.join(copies, row).repartition(shard, F.pmod(place, F.lit(64))).sortWithinPartitions(shard, place)
+    return rows.select(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import materialise, ship, type_of
+from heddle.llm.common import materialise, row_keyed, ship, type_of, unused
 from heddle.llm.components import components
 
 RADIUS = 4
@@ -224,13 +224,14 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups_of: Callable[..., DataFrame] = near_duplicate_groups) -> DataFrame:
-    """The rows with the smallest id of their component, with all their columns.
+    """One row of each component with all its columns, the one with the smallest id; rows without an id stay too.
 
-    Of rows with equal ids and that smallest id one stays. A row without an id cannot be named and stays.
+    Rows are told apart by id, text and their number among rows that agree in both, so ids may repeat: rows of one id
+    with different texts stay unless their texts are near copies. Null and wordless texts are equal. Texts
+    count whole, however long. Any other columns come through, and an empty table gives an empty one.
     """
-    groups = materialise(groups_of(docs, id_col, text_col).select("id", "component").where("id is not null"), "groups")
-    out = docs.join(groups.where("id <> component").select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
-    repeated = groups.where("id = component").groupBy("id").count().where("count > 1").select(F.col("id").alias(id_col))
-    if repeated.take(1):
-        out = out.join(repeated, id_col, "left_anti").unionByName(out.join(repeated, id_col, "left_semi").dropDuplicates([id_col]))
-    return out.select(docs.columns)
+    row = unused(docs, "_row")
+    keyed = row_keyed(docs, id_col, text_col, row)
+    groups = groups_of(keyed.select(row, text_col), row, text_col)
+    gone = materialise(groups.where("id <> component and not id.none").select(F.col("id").alias(row)), "groups")
+    return keyed.join(gone, row, "left_anti").select(docs.columns)

@@ -152,3 +152,11 @@ def test_blocks_of_items_cover_all(spark, monkeypatch):
     items = [(i, f"alpha{i} beta{i} gamma{i} delta{i} eps{i} zeta{i}") for i in range(7)]
     docs = spark.createDataFrame([(i, f"x {t} y") for i, t in items], "doc_id long, text string")
     assert sorted((r["id"], r["item"], r["first_word"], r["end_word"]) for r in dc.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()) == [(i, i, 1, 7) for i in range(7)]
+
+
+def test_equal_ids_of_different_texts_stay(spark):
+    kind = "doc_id long, text string, _key_none int"
+    rows = spark.createDataFrame([(5, "a b c d e f", 1), (5, "u v w x y z", 1), (1, "a b c d e f", 2), (5, "k l m n", 3), (5, "k l m n", 3)], kind)
+    got = sd.one_of_each_group(rows)
+    assert got.columns == rows.columns
+    assert sorted(map(tuple, got.collect())) == [(1, "a b c d e f", 2), (5, "k l m n", 3), (5, "u v w x y z", 1)]

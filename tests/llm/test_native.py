@@ -151,6 +151,15 @@ def test_licenses(spark):
         bsd + " Neither the name of X may be used to endorse products.": "BSD-3-Clause",
         "GNU Lesser General Public License, version 3. Released under the MIT License.": "LGPL-3.0-only,MIT",
         "An odd licence of our own.": "",
+        "# you can modify it under the terms of the GNU\n# General Public License as published by the Free\n# Software Foundation, either version 3 of the License, or\n# (at your option) any later version.": "GPL-3.0-or-later",
+        "subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0",
+        "/* SPDX-License-Identifier: BSD-3-Clause */\nint x;": "BSD-3-Clause",
+        "// SPDX-License-Identifier: GPL-2.0-or-later\n": "GPL-2.0-or-later",
+        "GNU Affero General Public License, version 3 or any later version": "AGPL-3.0-or-later",
+        "Under CC BY 3.0.\nUnder CC BY 4.0": "CC-BY-4.0,CC-BY-3.0",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.": "ISC",
+        bsd[:-1] + ". Neither the name of the\ncopyright holder nor the names of its contributors may be used to endorse\nproducts.": "BSD-3-Clause",
+        "x " * 300_000 + "\nReleased under the MIT License.\n" + "Released under the MIT License. " * 50: "MIT",
         "no words of it": "",
         "": "",
         None: "",
@@ -161,6 +170,20 @@ def test_licenses(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_each_license_identifier_has_a_rule():
+    used = {x for _, seq in licenses.RULES for x in seq.split()}
+    versions = [f"{a}{b}" for a in range(1, 5) for b in ("", ".0", ".1", ".5")]
+    values = [*versions, *(f"{k} {v}" for k in ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd") for v in versions)]
+    values += [f"{k} {v}{w}" for k in ("apache", "gpl", "lgpl", "agpl", "mpl", "cc0") for v in versions for w in ("", " or later")] + ["mit", "isc", "bsd 2 clause", "bsd 3 clause"]
+    for name, pattern in licenses.SENTENCES:
+        if name.endswith("-"):
+            group = re.search(r"\((?!\?)((?:[^()]|\(\?:[^()]*\))*)\)", pattern)[1]
+            found = [name + v.replace(" ", "-") for v in values if re.fullmatch(group, v)]
+            assert found and set(found) <= used, name
+        else:
+            assert name in used | {"RESERVED", "UNKNOWN"}
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "user", "How do I bake bread?\nI have flour."),
@@ -188,3 +211,20 @@ def test_chat(spark):
     assert got[2, 1] == [("", None, 1, 0, "")] * 2 and got[None, 0] == [("", None, 0, 0, "")] and got[3, 1] == [(None, None, 1, 0, "")]
     assert sum(map(len, got.values())) == len(rows)
     assert chat_format.formatted(df.limit(0)).count() == 0
+
+
+def test_blocks_are_permuted(spark):
+    for n in (1, 2, 7, 1000):
+        got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3))).collect()]
+        assert sorted(got) == list(range(n))
+    steps = [b - a for a, b in zip(got, got[1:], strict=False)]
+    assert len(set(steps)) > 500
+
+
+def test_mixed_rows_of_equal_ids(spark):
+    rows = [(i % 4, "a", f"{'x ' * 9}{i}", f"{i}") for i in range(8)] + [(None, "a", f"y {i}", "n") for i in range(6)] + [(9, "a", "z z", "1"), (9, "a", "z z", "2")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, _none string")
+    taken = sum(len(r["draws"]) for r in mixing.mix(df).collect())
+    got = mixing.mixed_rows(df)
+    assert got.columns == df.columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rows)) and taken == len(rows)
+    assert mixing.mixed_rows(df.limit(0)).count() == 0
