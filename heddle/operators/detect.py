@@ -32,7 +32,7 @@ def detect(pages: DataFrame, companies: DataFrame, page_id: str = "page_id") ->
     hosts = p.select("host").distinct()
     c = companies.select("seq", text(F.col("career_page_url")).alias("url"), F.coalesce("alternate_career_urls", F.array().cast("array<string>")).alias("others"), text(F.col("website")).alias("website"), F.lower(text(F.col("domain_hint"))).alias("hint"), unicode_key(F.col("company_name")).alias("key"))
     urls = c.select("seq", F.explode(F.concat(F.array("url"), "others")).alias("u")).where("u <> ''").select("seq", host(F.col("u")).alias("host"), _path(F.col("u")).alias("path")).distinct()
-    exact = p.join(urls, ["host", "path"]).select("page_id", "seq").distinct().withColumn("exact", F.lit(True))
+    exact = p.join(urls, ["host", "path"]).select("page_id", "seq")
 
     def suffixes(h):
         parts = F.split(h, "[.]")
@@ -48,8 +48,11 @@ def detect(pages: DataFrame, companies: DataFrame, page_id: str = "page_id") ->
     by_hint = parts.join(c.where("hint <> ''").select("seq", F.col("hint").alias("piece")), "piece").select("host", "seq", F.lit(45).alias("points"), F.lit("domain").alias("rule"), F.lit(2).alias("rank"))
     by_name = parts.join(c.where(F.length("key") >= 4).select("seq", F.col("key").alias("piece")), "piece").select("host", "seq", F.lit(35).alias("points"), F.lit("name").alias("rule"), F.lit(3).alias("rank"))
     scored = by_host.unionByName(by_hint).unionByName(by_name).groupBy("host", "seq").agg(F.max("points").alias("score"), F.max_by("rule", "rank").alias("match_type"))
-    loose = p.join(scored, "host").join(exact.drop("exact"), ["page_id", "seq"], "left_anti").select("page_id", "seq", "score", "match_type")
-    every = loose.unionByName(exact.select("page_id", "seq", F.lit(100).alias("score"), F.lit("url").alias("match_type")))
+    # An exact address wins anyway, so of a host's companies only the best, and of equals the first, need meet its pages.
+    top = scored.groupBy("host").agg(F.min_by(F.struct("seq", "score", "match_type"), F.struct(-F.col("score"), "seq")).alias("top"))
+    loose = p.join(top, "host").select("page_id", "top.seq", "top.score", "top.match_type")
+    first = exact.groupBy("page_id").agg(F.min("seq").alias("seq"))
+    every = loose.unionByName(first.select("page_id", "seq", F.lit(100).alias("score"), F.lit("url").alias("match_type")))
     best = pick(every.where(F.col("score") >= LEAST), ["page_id"], [F.desc("score"), "seq"])
     named = best.join(companies.select("seq", "company_name", "ats_type", "board_token"), "seq")
     out = p.select("page_id", "page_url").join(named, "page_id", "left")

@@ -446,10 +446,10 @@ def verdict_pivot(spark, sf_dir):
 
 @query
 def detect_company(spark, sf_dir):
-    """Pages against every fifth page's host as a company."""
+    """Pages against every page's host as a company."""
     p = table(spark, sf_dir, "pages")
     label = F.substring_index(urls.host(F.col("url")), ".", 1)
-    c = p.where("page_id % 5 = 0").select(
+    c = p.select(
         F.col("page_id").alias("seq"), label.alias("company_name"), F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise("").alias("career_page_url"), F.array().cast("array<string>").alias("alternate_career_urls"),
         F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://"), urls.bare_domain(F.col("url")))).otherwise("").alias("website"), F.when(F.col("page_id") % 7 == 0, label).otherwise("").alias("domain_hint"), F.lit("lever").alias("ats_type"), label.alias("board_token"),
     )

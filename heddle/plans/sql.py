@@ -82,9 +82,9 @@ def slug(b: str, u: str) -> str:
     return f"case {b} " + " ".join(f"when {q(n)} then nullif(regexp_extract({low}, {q(p)}, 1), '')" for n, p in urls.SLUG_PATTERNS) + " end"
 
 
-JOBS = f"""(select doc_id as id, lang as company, source as ats, cast(doc_id as varchar) as job_id, substring(text, 1, 80) as title, lang as location,
+JOBS = f"""(select doc_id as id, lang as company, source as ats, cast(doc_id as varchar) as job_id, text as title, lang as location,
   cast({AS_OF} - (doc_id * 7919) % 604800 as double) as first_seen, cast({AS_OF} - (doc_id * 104729) % 86400 as double) as last_seen,
-  cast(contains(lower(substring(text, 1, 80)), 'ing') as integer) as matched, cast(doc_id % 11 = 0 as integer) as applied, cast(doc_id % 17 = 0 as integer) as hidden, cast(doc_id % 7 = 0 as integer) as closed from documents)"""
+  cast(contains(lower(text), 'ing') as integer) as matched, cast(doc_id % 11 = 0 as integer) as applied, cast(doc_id % 17 = 0 as integer) as hidden, cast(doc_id % 7 = 0 as integer) as closed from documents)"""
 PLACES = """(select c_custkey, c_mktsegment as title, case when c_custkey % 13 = 0 then '' else n_name || ', ' || r_name end as location,
   (['remote', 'hybrid', 'onsite', '', 'full time'])[c_custkey % 5 + 1] as work_type from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
 OBSERVED = "(select event_type as board, user_id as job, cast(ts as date) as tick, event_id, value from events)"
@@ -256,7 +256,7 @@ _h = lambda u: f"coalesce({host(u)}, '')"
 _same_host = lambda h: f"({h} <> '' and ({h} = p.h or ends_with(p.h, '.' || {h}) or ends_with({h}, '.' || p.h)))"
 O["detect_company"] = f"""with p as (select page_id, url, {_h('url')} as h, rtrim(lower({path('url')}), '/') as pa from pages),
   c as (select page_id as seq, split_part(h, '.', 1) as name, case when page_id % 2 = 0 then h else '' end as ch, case when page_id % 2 = 0 then pa end as cp, case when page_id % 3 = 0 then {last_two('h')} else '' end as wh, case when page_id % 7 = 0 then lower(split_part(h, '.', 1)) else '' end as hint,
-    regexp_replace(lower(split_part(h, '.', 1)), '[^\\p{{L}}\\p{{N}}]', '', 'g') as k from p where page_id % 5 = 0),
+    regexp_replace(lower(split_part(h, '.', 1)), '[^\\p{{L}}\\p{{N}}]', '', 'g') as k from p),
   x as (select p.page_id, p.url, c.seq, c.name, c.ch <> '' and c.ch = p.h and c.cp = p.pa as e, {_same_host('c.ch')} or {_same_host('c.wh')} as ho, c.hint <> '' and contains(p.h, c.hint) as d, length(c.k) >= 4 and contains(p.h, c.k) as n from p, c where p.h <> ''),
   s as (select *, case when e then 100 when ho then 60 when d then 45 when n then 35 else 0 end as score, case when e then 'url' when n then 'name' when d then 'domain' when ho then 'host' end as match_type from x),
   b as (select * from s qualify row_number() over (partition by page_id order by score desc, seq) = 1)

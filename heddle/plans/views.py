@@ -17,12 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as state rows: the title is the text's first 80 characters, the source is the board."""
+    """Documents as state rows: the title is the whole text, the source is the board."""
     d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
     return d.select(
-        n.alias("id"), F.col("lang").alias("company"), F.col("source").alias("ats"), n.cast("string").alias("job_id"), F.substring("text", 1, 80).alias("title"), F.col("lang").alias("location"),
+        n.alias("id"), F.col("lang").alias("company"), F.col("source").alias("ats"), n.cast("string").alias("job_id"), F.col("text").alias("title"), F.col("lang").alias("location"),
         (F.lit(AS_OF) - (n * 7919) % 604800).cast("double").alias("first_seen"), (F.lit(AS_OF) - (n * 104729) % 86400).cast("double").alias("last_seen"),
-        F.contains(F.lower(F.substring("text", 1, 80)), F.lit("ing")).cast("int").alias("matched"), (n % 11 == 0).cast("int").alias("applied"), (n % 17 == 0).cast("int").alias("hidden"), (n % 7 == 0).cast("int").alias("closed"),
+        F.contains(F.lower("text"), F.lit("ing")).cast("int").alias("matched"), (n % 11 == 0).cast("int").alias("applied"), (n % 17 == 0).cast("int").alias("hidden"), (n % 7 == 0).cast("int").alias("closed"),
     )
 
 
