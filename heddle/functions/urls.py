@@ -106,10 +106,13 @@ def domain_without_www(url: Column) -> Column:
 
 def board_from_url(url: Column) -> Column:
     """The board whose marks occur in a URL, by :data:`URL_RULES`; null if none does."""
-    u, out = F.lower(text(url)), F.lit(None).cast("string")
-    for board, marks in reversed(URL_RULES):
-        out = F.when(any_of(u, marks), F.lit(board)).otherwise(out)
-    return out
+    rules = F.array(*(F.struct(F.lit(m).alias("mark"), F.lit(board).alias("board")) for board, marks in URL_RULES for m in marks))
+
+    def first(u: Column) -> Column:
+        return F.get(F.filter(rules, lambda r: F.contains(u, r["mark"])), 0)["board"]
+
+    # The lambda keeps the URL's own expression, and the rules, at one place of the plan.
+    return F.get(F.transform(F.array(F.lower(text(url))), first), 0)
 
 
 def board_from_host(url: Column) -> Column:
@@ -160,10 +163,8 @@ SLUG_PATTERNS = (
 
 def registry_slug(board: Column, url: Column) -> Column:
     """The slug by :data:`SLUG_PATTERNS`; null where the URL has none."""
-    u, out = F.regexp_replace(F.lower(text(url)), "/+$", ""), F.lit(None).cast("string")
-    for name, pattern in SLUG_PATTERNS:
-        out = F.when(board == name, known(F.regexp_extract(u, pattern, 1))).otherwise(out)
-    return out
+    patterns = F.create_map(*(F.lit(x) for pair in SLUG_PATTERNS for x in pair))
+    return known(F.call_function("regexp_extract", F.regexp_replace(F.lower(text(url)), "/+$", ""), F.element_at(patterns, board), F.lit(1)))
 
 
 def board_slug(board: Column, url: Column) -> Column:
