@@ -185,9 +185,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     def place(epoch: Column) -> Column:
         block = F.least(F.floor((epoch * F.col("source_size") + spot) / block_words), F.col("n") - 1)
+        # The lambdas bind the turn and the shard, which would else be worked out again at each mention.
         turn = permuted(block, F.col("n"), F.col("rank"))
-        shard = F.size(F.filter("ranges", lambda x: x <= turn))
-        return F.struct(shard.alias("shard"), F.xxhash64(F.lit(_SEED), shard, F.col("h"), epoch).alias("place"))
+        shard = F.transform(F.array(turn), lambda t: F.size(F.filter("ranges", lambda x: x <= t)))
+        return F.get(F.transform(shard, lambda s: F.struct(s.alias("shard"), F.xxhash64(F.lit(_SEED), s, F.col("h"), epoch).alias("place"))), 0)
 
     draws = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), place)).otherwise(F.array().cast("array<struct<shard:int,place:bigint>>"))
     return taken.withColumn("copies", copies.cast("int")).select("id", "size", "source_size", "target", draws.alias("draws"))
