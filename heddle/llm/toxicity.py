@@ -1,6 +1,6 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
-Training (on the driver, from a bounded sample of labelled rows): a token of a toxic document is first labelled toxic
+Training (from a bounded sample of labelled rows): a token of a toxic document is first labelled toxic
 where its word or one of its beginnings is far more frequent among toxic documents than among clean ones (smoothed
 log-odds, and the root of the likelihood ratio, which also knows the marks of a small language). These labels train a
 two-state chain: emissions are sums of weights of word features, the transitions are free, and gradients come from
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm.common import byte_lengths, byte_slices, materialise, ship, type_of, worker_memory
@@ -38,7 +38,8 @@ SAMPLE_ROWS = 800
 FOLDS = 5
 #: Features of fewer sampled documents than this are left out.
 MIN_DOCS = 3
-LANE = 256
+#: Tokens of a lane, and steps after which a lane's map is scaled: emission ratios of e^30 stay far from overflow between.
+LANE, RESCALE = 256, 8
 CACHE_WORDS = 400_000
 #: What marks toxic tokens at first: least log-odds, and least root of twice the log likelihood ratio.
 MIN_ODDS, MIN_ROOT = 2.0, 4.5
@@ -100,21 +101,24 @@ def _scan(e: np.ndarray, reset: np.ndarray, first: float, m: np.ndarray, emit_af
     lanes = -(-n // LANE)
     pad = lanes * LANE - n
     e = np.concatenate([e, np.ones(pad)]).reshape(lanes, LANE).T.copy()
-    reset = np.concatenate([reset, np.ones(pad, bool)]).reshape(lanes, LANE).T.copy()
+    # Resets are few: the lanes of each step's.
+    step, lane = np.nonzero(np.concatenate([reset, np.ones(pad, bool)]).reshape(lanes, LANE).T)
+    fresh = np.split(lane, np.searchsorted(step, np.arange(1, LANE)))
+    # Ratios don't change with the scale of the transitions.
+    m01, m10, m11 = m[0, 1] / m[0, 0], m[1, 0] / m[0, 0], m[1, 1] / m[0, 0]
     # The map x -> (p + q x) / (r + s x) of each lane, composed over its tokens.
     p, q, r, s = np.zeros(lanes), np.ones(lanes), np.ones(lanes), np.zeros(lanes)
     for t in range(LANE):
-        up, down = (p, r) if emit_after else (p * e[t], r)
-        upx, downx = (q, s) if emit_after else (q * e[t], s)
-        np_, nq = m[0, 1] * down + m[1, 1] * up, m[0, 1] * downx + m[1, 1] * upx
-        nr, ns = m[0, 0] * down + m[1, 0] * up, m[0, 0] * downx + m[1, 0] * upx
+        if not emit_after:
+            p, q = p * e[t], q * e[t]
+        p, q, r, s = m01 * r + m11 * p, m01 * s + m11 * q, r + m10 * p, s + m10 * q
         if emit_after:
-            np_, nq = np_ * e[t], nq * e[t]
-        fresh = first * e[t] if emit_after else np.full(lanes, first)
-        p, q = np.where(reset[t], fresh, np_), np.where(reset[t], 0.0, nq)
-        r, s = np.where(reset[t], 1.0, nr), np.where(reset[t], 0.0, ns)
-        scale = np.maximum(np.maximum(p, q), np.maximum(r, s))
-        p, q, r, s = p / scale, q / scale, r / scale, s / scale
+            p, q = p * e[t], q * e[t]
+        new = fresh[t]
+        p[new], q[new], r[new], s[new] = first * e[t, new] if emit_after else first, 0.0, 1.0, 0.0
+        if t % RESCALE == RESCALE - 1:
+            scale = np.maximum(np.maximum(p, q), np.maximum(r, s))
+            p, q, r, s = p / scale, q / scale, r / scale, s / scale
     starts, x = np.empty(lanes), before
     for k, (a, b, c, d) in enumerate(zip(p.tolist(), q.tolist(), r.tolist(), s.tolist(), strict=True)):
         starts[k] = x
@@ -122,8 +126,11 @@ def _scan(e: np.ndarray, reset: np.ndarray, first: float, m: np.ndarray, emit_af
     out, x = np.empty((LANE, lanes)), starts
     for t in range(LANE):
         y = x if emit_after else x * e[t]
-        y = (m[0, 1] + m[1, 1] * y) / (m[0, 0] + m[1, 0] * y)
-        x = np.where(reset[t], first * (e[t] if emit_after else 1.0), y * e[t] if emit_after else y)
+        x = (m01 + m11 * y) / (1 + m10 * y)
+        if emit_after:
+            x *= e[t]
+        new = fresh[t]
+        x[new] = first * e[t, new] if emit_after else first
         out[t] = x
     return out.T.reshape(-1)[:n]
 
@@ -154,11 +161,11 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, trans: np.ndarray, sta
 
 
 def _transition_counts(forward: np.ndarray, backward: np.ndarray, e: np.ndarray, trans: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    """Expected transitions between the tokens t and t + 1 for t in inner."""
+    """Expected transitions between the tokens t and t + 1 where inner holds for t."""
     m = np.exp(trans)
-    x, y = forward[inner], e[inner + 1] * backward[inner + 1]
-    cell = np.stack([np.full(len(x), m[0, 0]), m[0, 1] * y, m[1, 0] * x, m[1, 1] * x * y])
-    return (cell / cell.sum(axis=0)).sum(axis=1).reshape(2, 2)
+    x, y = forward[:-1], e[1:] * backward[1:]
+    weight = inner[:-1] / (m[0, 0] + m[0, 1] * y + x * (m[1, 0] + m[1, 1] * y))
+    return m * np.array([[weight.sum(), weight @ y], [weight @ x, (weight * x) @ y]])
 
 
 def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -252,10 +259,10 @@ def _fit_chain(sample: _Sample, rounds: int, em_rounds: int, decay: float) -> Mo
         full = lengths > 0
         tail = np.zeros(n, bool)
         tail[ends[full] - 1] = True
-        inner, head = np.flatnonzero(~tail), (ends - lengths)[full]
+        inner, head = ~tail, (ends - lengths)[full]
         scale_w, scale_s, scale_b, scale_t = np.full(len(names), 1e-8), 1e-8, 1e-8, np.full((2, 2), 1e-8)
         for em in range(em_rounds + 1):
-            g, h = gold[inner], gold[inner + 1]
+            g, h = gold[:-1][inner[:-1]], gold[1:][inner[:-1]]
             seen = np.array([[((1 - g) * (1 - h)).sum(), ((1 - g) * h).sum()], [(g * (1 - h)).sum(), (g * h).sum()]])
             gold_by_word = np.bincount(flat, gold, minlength=words)
             for _ in range(rounds if em == 0 else rounds // 3):
@@ -309,23 +316,47 @@ def _fit_layer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return layer
 
 
-def fit(texts: list[bytes], labels: list[int], rounds: int = 30, em_rounds: int = EM_ROUNDS, decay: float = 1e-4) -> Model:
+def _part(sample: _Sample, parts: np.ndarray, k: int, *how) -> Model | np.ndarray | None:
+    """The chain of the whole sample for k = -1, else the features of part k's documents under a chain of the rest."""
+    if k < 0:
+        return _fit_chain(sample, *how)
+    own, rest = parts == k, parts != k
+    if own.any() and len(np.unique(sample.y[rest])) == 2:
+        return _seen_by(_fit_chain(sample.of(rest), *how), sample.of(own))
+    return None
+
+
+def _part_batches(batches: Iterator[pa.RecordBatch], shared, *how) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ks = batch.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array([pickle.dumps(_part(*shared.value, k, *how)) for k in ks], pa.binary())], names=["k", "fitted"])
+
+
+def fit(texts: list[bytes], labels: list[int], rounds: int = 30, em_rounds: int = EM_ROUNDS, decay: float = 1e-4, spark: SparkSession | None = None) -> Model:
     """Trains the chain and the document layer. Without both classes every score is that of the only class.
 
-    Equal texts with equal labels count once, so that a much copied text teaches no more than another.
+    Equal texts with equal labels count once, so that a much copied text teaches no more than another. With a session
+    the chains of the whole sample and of its parts are fitted at the same time, each by a task of its own.
     """
     pairs = list(dict.fromkeys(zip(texts, labels, strict=True)))
-    sample = _numbered([t for t, _ in pairs], [y for _, y in pairs])
-    model, y = _fit_chain(sample, rounds, em_rounds, decay), sample.y
-    if not len(y) or y.min() == y.max():
+    sample, how = _numbered([t for t, _ in pairs], [y for _, y in pairs]), (rounds, em_rounds, decay)
+    y, parts = sample.y, np.array([hash_order(t)[0] % PARTS for t, _ in pairs], np.int64)
+    both = len(np.unique(y)) == 2
+    ks = range(-1, PARTS if both else 0)
+    if spark is None:
+        fitted = {k: _part(sample, parts, k, *how) for k in ks}
+    else:
+        shared = spark.sparkContext.broadcast((sample, parts))
+        rows = spark.range(ks.start, ks.stop, 1, len(ks)).mapInArrow(lambda b: _part_batches(b, shared, *how), "k long, fitted binary").collect()
+        fitted = {r["k"]: pickle.loads(r["fitted"]) for r in rows}
+    model = fitted.pop(-1)
+    if not both:
         model.layer = np.array([4.0 if len(y) and y[0] else -4.0, 0, 0])
     else:
-        parts = np.array([hash_order(t)[0] % PARTS for t, _ in pairs])
         x, known = np.zeros((len(y), 3)), np.zeros(len(y), bool)
-        for k in range(PARTS):
-            own, rest = parts == k, parts != k
-            if own.any() and len(np.unique(y[rest])) == 2:
-                x[own], known[own] = _seen_by(_fit_chain(sample.of(rest), rounds, em_rounds, decay), sample.of(own)), True
+        for k, seen in fitted.items():
+            if seen is not None:
+                x[parts == k], known[parts == k] = seen, True
         if len(np.unique(y[known])) < 2:
             x, known = _seen_by(model, sample), np.ones(len(y), bool)
         model.layer = _fit_layer(x[known], y[known])
@@ -421,7 +452,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kept = {i for y in (0, 1) for *_, i in [x for x in ids if x[0] == y][:sample_rows]}
     rows = [r for r in found.where(F.col("id").isin(*kept)).toLocalIterator()] if kept else []
     rows.sort(key=lambda r: (r["y"], hash_order(r["id"])))
-    return fit([bytes(r["text"]) for r in rows], [r["y"] for r in rows])
+    ship(docs.sparkSession)
+    return fit([bytes(r["text"]) for r in rows], [r["y"] for r in rows], spark=docs.sparkSession)
 
 
 def hash_order(key: object) -> tuple[int, str]:
