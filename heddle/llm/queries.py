@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import licenses
+from heddle.llm import clustering, licenses, vector_codes
 from heddle.llm.chat_format import formatted
 from heddle.llm.common import table
 from heddle.llm.decontamination import contaminated
 from heddle.llm.embedding_dedup import embedding_groups
 from heddle.llm.mixing import mix
+from heddle.llm.packing import pack
 from heddle.llm.secrets import secret_spans, span_digest
 from heddle.llm.simhash_dedup import near_duplicate_groups
 from heddle.llm.token_counts import token_counts
@@ -76,7 +77,24 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_mixing, op3_token_counts, op4_decontamination, op5_toxicity, op6_secrets, op7_chat_format, op8_simhash_dedup, op9_embedding_dedup, op10_token_output)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.cluster_rows(clustering.cluster(table(spark, sf_dir, "embeddings")))
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1).rows
+    return found.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.code_rows(vector_codes.compress(table(spark, sf_dir, "embeddings")))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_mixing, op3_token_counts, op4_decontamination, op5_toxicity, op6_secrets, op7_chat_format, op8_simhash_dedup, op9_embedding_dedup, op10_token_output, op11_centroid_clustering, op12_packing, op13_vector_codes)}
 
 #: DuckDB SQL over whole tables. The other operators hash, draw, search or learn in ways that SQL cannot express.
-ORACLES: dict[str, str] = {"op1_licenses": licenses.oracle()}
+ORACLES: dict[str, str] = {"op1_licenses": licenses.oracle(), "op11_centroid_clustering": clustering.oracle(), "op13_vector_codes": vector_codes.oracle()}

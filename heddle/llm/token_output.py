@@ -38,8 +38,8 @@ MAGIC = b"BPL1"
 BLOCK = 1 << 16
 #: Ids, and documents, of one file; a longer document still goes to one file whole.
 FILE_IDS, FILE_DOCS = 1 << 24, 1 << 20
-#: Words that a worker remembers, and bytes of text that are split at a time.
-CACHE_WORDS, SLICE_BYTES = 800_000, 1 << 21
+#: Words that a worker remembers, ids of these and of longer words that it holds, and bytes of text that are split at a time.
+CACHE_WORDS, CACHE_IDS, SLICE_BYTES = 800_000, 1 << 22, 1 << 21
 #: Marks that are pre-tokens of their own after a letter and before white space.
 _LONE = (b".", b",")
 _FOOTER, _CHUNK = struct.Struct("<QQII4s"), struct.Struct("<QI32I")
@@ -255,7 +255,8 @@ class WordEncoder:
         distinct = words.dictionary.cast(pa.binary()).to_pylist()
         got = list(map(self.slots.get, distinct))
         if missing := [w for w, s in zip(distinct, got, strict=True) if s is None]:
-            if len(self.slots) + len(missing) > CACHE_WORDS:
+            held = int(self.ends[self.n - 1]) if self.n else 0
+            if max(len(self.slots), self.n) + len(missing) > CACHE_WORDS or held > CACHE_IDS:
                 self._forget()
                 missing = distinct
             self._learn(missing)
