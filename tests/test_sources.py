@@ -57,11 +57,12 @@ def test_html_boards(spark):
     assert [(r["job_id"], r["title"], r["work_type"]) for r in got] == [("red-teamer", "Red Teamer", "remote")]
 
 
-def test_reader(spark):
+def test_reader_with_a_transport_of_its_own(spark):
     spark.dataSource.register(BoardSource)
-    boards = [{"company": "A", "ats": "lever", "token": "a", "url": "ok"}, {"company": "B", "ats": "workday", "token": "b", "url": "ok"}, {"company": "C", "ats": "lever", "token": "c", "url": "bad"}]
-    got = spark.read.format("boards").options(boards=json.dumps(boards), transport="tests.transport.fetch").load().collect()
-    assert len(got) == 27 and [r["error"] for r in got if r["company"] == "C"] == ["no such board"]
+    boards = [{"company": "A", "ats": "lever", "token": "a"}, {"company": "B", "ats": "workday", "token": "https://b.com/short"}, {"company": "C", "ats": "lever", "token": "bad"}]
+    got = spark.read.format("boards").options(boards=json.dumps(boards), transport="tests.transport.fetch", wait="0").load().collect()
+    assert sorted((r["company"], r["page_offset"]) for r in got) == [("A", 0), ("B", 0), ("B", 20), ("B", 40), ("C", 0)]
+    assert [r["error"].endswith("OSError: no such board") for r in got if r["company"] == "C"] == [True]
 
 
 def test_collectors(spark):

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from heddle.operators import state as s
-from heddle.streaming import ticks
+from heddle.streaming import keyed, ticks
 
 FRESH = "company string, ats string, job_id string, title string, location string, work_type string, url string, posted_at string, matched int, seq int"
 
@@ -87,3 +87,97 @@ def test_stream_of_ticks(spark, tmp_path):
     ticks.start(stream, folder, str(tmp_path / "check"), lambda: ledger).awaitTermination(120)
     got = {(r["company"], r["ats"], r["job_id"]): (r["miss_count"], r["closed"]) for r in ticks.current_state(spark, folder).collect()}
     assert got == {k: (r["miss"], r["closed"]) for k, r in rows.items()}
+
+
+def as_rows(state):
+    """State rows as the sequential fold keeps them."""
+    return {(r["company"], r["ats"], r["job_id"]): (r["title"], r["matched"], r["first_seen"], r["last_seen"], r["applied"], r["closed"], r["closed_at"], r["miss_count"]) for r in state}
+
+
+def as_folded(rows):
+    return {k: (r["title"], r["matched"], r["first"], r["last"], r["applied"], r["closed"], r["closed_at"], r["miss"]) for k, r in rows.items()}
+
+
+class Keyed:
+    """A stream of events from files, run until it has read all; changes are gathered as they come."""
+
+    def __init__(self, spark, folder, lanes=3, initial=None):
+        keyed.use_rocksdb(spark)
+        self.spark, self.source, self.check, self.lanes, self.initial = spark, str(folder / "in"), str(folder / "check"), lanes, initial
+        self.state, self.batches = {}, []
+
+    def add(self, *events):
+        for e in events:
+            e.coalesce(1).write.mode("append").parquet(self.source)
+
+    def run(self, files=1):
+        stream = self.spark.readStream.schema(keyed.EVENT).option("maxFilesPerTrigger", files).parquet(self.source)
+
+        def sink(batch, n):
+            rows = batch.collect()
+            self.batches.append(rows)
+            self.state.update({(r["company"], r["ats"], r["job_id"]): r for r in rows})
+
+        out = keyed.changes(stream, initial=self.initial, lanes=self.lanes)
+        out.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", self.check).trigger(availableNow=True).start().awaitTermination(200)
+
+
+def ticked(spark, fresh, now, lanes=3):
+    return keyed.tick_events(spark.createDataFrame(fresh, FRESH).withColumn("now", F.lit(now)), lanes)
+
+
+def test_keyed_state_folds_as_rules_say_over_restarts(spark, tmp_path):
+    stream, rows, ledger = Keyed(spark, tmp_path), {}, {("a", "lever", "1"), ("b", "workday", "2"), ("a", "lever", "5")}
+    stream.add(keyed.flag_events(spark.createDataFrame(sorted(ledger), "company string, ats string, job_id string"), keyed.LEDGER, 0.0, 3))
+    for i, (now, fresh) in enumerate(random_ticks(3, 5)):
+        python_tick(rows, fresh, ledger, now)
+        stream.add(ticked(spark, fresh, now))
+        if i in (1, 4):  # a new query each time: the second goes on from the first one's checkpoint
+            stream.run()
+            assert as_rows(stream.state.values()) == as_folded(rows)
+    # Every change says what was before: folding the batches one by one never meets another "before".
+    known = {}
+    for batch in stream.batches:
+        for r in batch:
+            k, old = (r["company"], r["ats"], r["job_id"]), known.get((r["company"], r["ats"], r["job_id"]))
+            assert r["is_new"] == (old is None) and (r["was_closed"], r["was_applied"], r["was_matched"]) == ((None,) * 3 if old is None else (old["closed"], old["applied"], old["matched"]))
+            known[k] = r
+
+
+def test_many_ticks_in_one_batch_are_the_same(spark, tmp_path):
+    stream, rows = Keyed(spark, tmp_path, lanes=1), {}
+    for now, fresh in random_ticks(11, 4):
+        python_tick(rows, fresh, set(), now)
+        stream.add(ticked(spark, fresh, now, 1))
+    stream.run(files=100)
+    assert as_rows(stream.state.values()) == as_folded(rows) and len([b for b in stream.batches if b]) == 1
+
+
+def test_split_late_and_flagged_ticks(spark, tmp_path):
+    of = lambda *jobs: [("a", "lever", j, f"t{j}", "", "", "", "", 1, i) for i, j in enumerate(jobs)]
+    key = spark.createDataFrame([("a", "lever", "1"), ("a", "lever", "9")], "company string, ats string, job_id string")
+    stream = Keyed(spark, tmp_path, lanes=1)
+    stream.add(ticked(spark, of("1", "2", "3"), 1.0, 1), ticked(spark, of("2"), 2.0, 1))
+    stream.run()
+    assert {k[2]: r["miss_count"] for k, r in stream.state.items()} == {"1": 1, "2": 0, "3": 1}
+    # The same tick again, with another row of it: no second miss. An older one: nothing. Flags: known rows alone.
+    stream.add(ticked(spark, of("3"), 2.0, 1), ticked(spark, of("1"), 1.5, 1), keyed.flag_events(key, keyed.HIDDEN, 2.5, 1), keyed.flag_events(key, keyed.APPLIED, 2.5, 1))
+    stream.run()
+    assert {k[2]: (r["miss_count"], r["hidden"], r["applied"]) for k, r in stream.state.items()} == {"1": (1, 1, 1), "2": (0, 0, 0), "3": (0, 0, 0)}
+    stream.add(ticked(spark, of("2"), 3.0, 1), ticked(spark, of("2"), 4.0, 1))
+    stream.run()
+    assert {k[2]: (r["miss_count"], r["closed"], r["closed_at"]) for k, r in stream.state.items()} == {"1": (1, 0, None), "2": (0, 0, None), "3": (2, 1, 4.0)}
+
+
+def test_keyed_state_starts_from_stored_state(spark, tmp_path):
+    rows, fresh = {}, list(random_ticks(7, 3))
+    state, ledger = spark.createDataFrame([], s.STATE), spark.createDataFrame([], "company string, ats string, job_id string")
+    for now, f in fresh[:2]:
+        python_tick(rows, f, set(), now)
+        state = spark.createDataFrame(s.tick(state, spark.createDataFrame(f, FRESH), ledger, now).drop("is_new").collect(), s.STATE)
+    stream = Keyed(spark, tmp_path, initial=state)
+    stream.state = {(r["company"], r["ats"], r["job_id"]): r for r in state.collect()}
+    python_tick(rows, fresh[2][1], set(), fresh[2][0])
+    stream.add(ticked(spark, fresh[2][1], fresh[2][0]))
+    stream.run()
+    assert as_rows(stream.state.values()) == as_folded(rows) and any(not r["is_new"] for b in stream.batches for r in b)
