@@ -441,8 +441,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
+    # Labels without a text go before the sample is cut, so that its size does not depend on how many there are.
+    there = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+    known = known.join(there, "id", "left_semi")
     chosen = None
-    for y in (0, 1):  # twice as many as are used, as some may be absent
+    for y in (0, 1):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(2 * sample_rows)
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")

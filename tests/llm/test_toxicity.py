@@ -81,3 +81,13 @@ def test_clashing_columns_and_nulls_in_any(spark, model):
     assert tx.toxicity(docs, model).count() == 3
     kept = tx.without_toxic(docs, model)
     assert kept.columns == docs.columns and sorted(str(r["text"]) for r in kept.collect()) == ["None", "a b"]
+
+
+def test_labels_without_texts_take_no_places(spark):
+    rows = list(corpus(300, 11))
+    docs = spark.createDataFrame([(i, t.decode()) for i, (t, *_) in enumerate(rows)] + [(400, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y, _) in enumerate(rows)], "doc_id long, toxic int")
+    others = spark.range(1000, 41_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    model = tx.train(docs, labels.unionByName(others), sample_rows=200)
+    scores = {r["id"]: r["score"] for r in tx.toxicity(docs, model).collect()}
+    assert np.mean([(scores[i] >= 0.5) == y for i, (_, y, _) in enumerate(rows)]) > 0.9
