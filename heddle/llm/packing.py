@@ -96,40 +96,45 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return sequence, offset, np.array(fill, np.int64)
 
 
+def cut(ids: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
+    """(text, piece, start, length, crc) of each piece of texts that have these ids, one after the other."""
+    pieces = -(-counts // capacity)
+    text = np.repeat(np.arange(len(counts)), pieces)
+    piece = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = piece * capacity
+    length = np.minimum(counts[text] - start, capacity)
+    ends = np.cumsum(length)
+    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+    crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip((4 * (ends - length)).tolist(), (4 * ends).tolist(), strict=True)), np.int64, len(text))
+    return text, piece, start, length, crc
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     """Rows (id, piece, start, length, crc, serial); serial differs in every row of the table."""
     from pyspark import TaskContext
 
     encode, serial = _encoder(tokenizer), TaskContext.get().partitionId() << _SERIAL_BITS
     for batch in batches:
-        for a, parts in _whole_texts(encode.slices(batch.column(1))):
-            at, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(parts):
-                ids = np.append(ids, end_id).astype("<u4")
-                for p, begin in enumerate(range(0, len(ids), capacity)):
-                    part = ids[begin : begin + capacity]
-                    at.append(a + i)
-                    piece.append(p)
-                    start.append(begin)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part))
-            serials = pa.array(np.arange(serial, serial + len(at)))
-            serial += len(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), serials], names=["id", "piece", "start", "length", "crc", "serial"])
-
-
-def _whole_texts(slices: Iterator[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(first row, ids of each text) of runs; the pieces of a long text are put together first."""
+        for first, ids, counts in _whole_texts(encode.slices(batch.column(1))):
+            text, piece, start, length, crc = cut(np.insert(ids, np.cumsum(counts), end_id), counts + 1, capacity)
+            serials = np.arange(serial, serial + len(text))
+            serial += len(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + text)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc), pa.array(serials)], names=["id", "piece", "start", "length", "crc", "serial"])
+
+
+def _whole_texts(slices: Iterator[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids, number of ids of each text) of runs; the pieces of a long text are put together first."""
     held, now = [], next(slices, None)
     while now is not None:
         (a, b, ids, counts), now = now, next(slices, None)
         if now is not None and now[0] == a:
             held.append(ids)
         elif held:
-            yield a, [np.concatenate([*held, ids])]
+            ids = np.concatenate([*held, ids])
+            yield a, ids, np.array([len(ids)])
             held = []
         else:
-            yield a, np.split(ids, np.cumsum(counts)[:-1])
+            yield a, ids, counts
 
 
 def _packed(table: pa.Table, capacity: int, round_no: int) -> pa.Table:
