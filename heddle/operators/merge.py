@@ -76,15 +76,54 @@ def add_counts(old: DataFrame, new: DataFrame, key: str, counters: list[str]) ->
     return old.select(key, *counters).unionByName(new.select(key, *counters)).groupBy(key).agg(*(F.sum(c).alias(c) for c in counters))
 
 
+def _dealt_by_range(df: DataFrame, order: list, parts: int) -> tuple[DataFrame, dict[int, int]]:
+    """``df`` with ``_range``, the number of the key range that a row lies in, and the rows of each range.
+
+    Ranges are cut at keys that a hash draws, fewer than ``parts`` of them, so they are the same whenever they are worked
+    out, and about even where keys are distinct. Only key columns are read for this.
+    """
+    keys = df.select(F.struct(*_orders(order)).alias("k"))
+    drawn = keys.orderBy(F.xxhash64("k"), "k").limit(max(1, parts) - 1).orderBy("k")
+    cuts = df.sparkSession.createDataFrame([([r["k"] for r in drawn.collect()],)], f"_cuts array<{drawn.dtypes[0][1]}>")
+
+    def ranged(rows: DataFrame, key: Column) -> DataFrame:
+        return rows.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= key))).drop("_cuts")  # one row
+
+    counts = {r["_range"]: r["count"] for r in ranged(keys, F.col("k")).groupBy("_range").count().collect()}
+    return ranged(df, F.struct(*_orders(order))), counts
+
+
+def ranked(df: DataFrame, order: list, name: str = "rank", parts: int = 128, only: list[tuple[int, int]] | None = None) -> DataFrame:
+    """``df`` with each row's place from 0 on in ascending ``order`` over the whole table, which ends in a unique column.
+
+    No task sees more than a range of keys: rows are ranked within their range, and the rows of the ranges before are added.
+    ``only`` names the places that are wanted, as (first, end) pairs; ranges that hold none of them are not ranked.
+    """
+    rows, counts = _dealt_by_range(df, order, parts)
+    before, at = {}, 0
+    for r in sorted(counts):
+        before[r], at = at, at + counts[r]
+    if only is not None:
+        before = {r: x for r, x in before.items() if any(a < x + counts[r] and b > x for a, b in only)}
+    if not before:
+        return df.withColumn(name, F.lit(None).cast("long")).limit(0)
+    starts = F.create_map(*(F.lit(x) for r, n in before.items() for x in (r, int(n))))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*_orders(order))) - 1 + F.element_at(starts, F.col("_range"))
+    return rows.where(F.col("_range").isin(*before)).withColumn(name, place.cast("long")).drop("_range")
+
+
 def rotating_slice(df: DataFrame, order: list, cursor: int, size: int) -> DataFrame:
     """``size`` rows from a cursor on, wrapping around; the new cursor is (cursor + rows) mod all rows.
 
-    Ranks come from a global sort in one task over the key columns only; the list of companies it serves is small.
+    ``turn`` is a row's place in the slice. Only the key ranges that the slice touches are ranked; see :func:`ranked`.
     """
-    w = Window.orderBy(*_orders(order))
-    ranked = df.withColumn("_at", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    turn = F.pmod(F.col("_at") - F.lit(cursor), F.col("_n"))
-    return ranked.withColumn("turn", turn.cast("long")).where(F.col("turn") < size).drop("_at", "_n")
+    n = df.count()
+    if not n:
+        return df.withColumn("turn", F.lit(None).cast("long")).limit(0)
+    cursor, size = cursor % n, min(size, n)
+    wanted = [(cursor, min(cursor + size, n)), (0, cursor + size - n)]
+    turn = F.pmod(F.col("_at") - F.lit(cursor), F.lit(n))
+    return ranked(df, order, "_at", only=[w for w in wanted if w[1] > w[0]]).withColumn("turn", turn.cast("long")).where(F.col("turn") < size).drop("_at")
 
 
 def next_cursor(n_rows: int, cursor: int, size: int) -> int:

@@ -99,6 +99,21 @@ def latest(df: DataFrame, by: str, n: int, tie: str = "id", most: int = 1000) ->
     return df.orderBy(F.col(by).desc(), F.col(tie).desc()).limit(max(1, min(most, n)))
 
 
+def latest_days(daily: DataFrame, days: int = 14) -> DataFrame:
+    """The last 1 to 120 days of the daily counters, newest first."""
+    return latest(daily, "date", days, tie="date", most=120)
+
+
+def latest_ledger(ledger: DataFrame, n: int = 200, tie: str = "job_id") -> DataFrame:
+    """The last 1 to 1000 rows of the ledger, newest first."""
+    return latest(ledger, "applied_at", n, tie=tie)
+
+
+def seen_by_source(postings: DataFrame) -> DataFrame:
+    """How many postings a pass saw on each source, most first; closed and hidden ones count too."""
+    return postings.groupBy("ats").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ats")
+
+
 def snapshot(jobs: DataFrame, cap: int = 0) -> DataFrame:
     """All rows, or the first ``cap``, by when they were last seen."""
     out = jobs.orderBy(F.col("last_seen").desc(), F.col("id").asc())

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from heddle.plans.queries import QUERIES
-from heddle.plans.sql import ORACLES
+from heddle.plans import operator_queries, queries, sql
+
+QUERIES = queries.QUERIES | operator_queries.QUERIES
+ORACLES = sql.ORACLES | operator_queries.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]

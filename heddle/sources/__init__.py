@@ -1 +1,8 @@
 """Sources and sinks: parsers of payloads, files, and the reader that fetches boards."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# What runs in Python workers is sent to them by value, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -87,7 +87,8 @@ def remote_feed(items: DataFrame, source: str) -> DataFrame:
     name = F.coalesce(known(F.trim(text(F.col("company")))), known(company_from_title(F.col("title"))))
     entries = _entries(items, source, name, None, F.when(is_board_url(F.col("url")), F.col("url"))).where("company_name is not null")
     keyed = entries.withColumn("_key", ascii_key(F.col("company_name"))).where("_key <> ''")
-    return fill_missing(keyed, ["_key"], ["seq"]).join(keyed.groupBy("_key").agg(F.min("seq").alias("seq")), "_key").select(*ENTRY)
+    merged = fill_missing(keyed, ["_key"], ["seq"]).join(keyed.groupBy("_key").agg(F.min("seq").alias("seq")), "_key")
+    return merged.withColumns({c: text(F.col(c)) for c in ("website", "career_page_url")}).select(*ENTRY)
 
 
 def listings_json(items: DataFrame, source: str = "listings") -> DataFrame:

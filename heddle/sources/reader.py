@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from heddle.sources.transport import Fetcher, FetchError, url_of
+from heddle.sources.transport import Fetcher, FetchError, http, url_of
 
 PAGES = "company string, ats string, token string, url string, page_offset long, status int, payload string, error string, now double"
 _OPTIONS = {"agent": str, "retries": int, "wait": float, "timeout": float, "rate": float, "lanes": int}
@@ -29,7 +29,7 @@ _OPTIONS = {"agent": str, "retries": int, "wait": float, "timeout": float, "rate
 
 def _fetcher(options: dict) -> Fetcher:
     told = {k: kind(options[k]) for k, kind in _OPTIONS.items() if k in options}
-    return Fetcher(options.get("transport", "heddle.sources.transport.http"), **told)
+    return Fetcher(options.get("transport") or http, **told)
 
 
 def _rows(boards: list[dict], options: dict, now: float | None) -> Iterator[tuple]:
