@@ -17,19 +17,20 @@ DEAD_BODY = (
 BODY_CHARS = 32768
 
 
-def looks_dead(page: Column) -> Column:
-    """A page that says it is missing although it was served."""
-    return page_title(page).rlike(DEAD_TITLE) | F.substring(text(page), 1, BODY_CHARS).rlike(DEAD_BODY)
+def looks_dead(page: Column, body_chars: int = BODY_CHARS) -> Column:
+    """A page that says it is missing although it was served, in its title or its first characters; 0 means all of them."""
+    body = F.substring(text(page), 1, body_chars) if body_chars else text(page)
+    return page_title(page).rlike(DEAD_TITLE) | body.rlike(DEAD_BODY)
 
 
-def verdict(url: Column, status: Column, page: Column) -> Column:
+def verdict(url: Column, status: Column, page: Column, body_chars: int = BODY_CHARS) -> Column:
     """live, dead or unknown. A null status means that the fetch failed."""
     served = status.between(200, 399)
     return (
         F.when(~F.startswith(text(url), F.lit("http")), "dead")
         .when(status.isNull(), "unknown")
         .when(status.isin(404, 410), "dead")
-        .when(served & looks_dead(page), "dead")
+        .when(served & looks_dead(page, body_chars), "dead")
         .when(served, "live")
         .otherwise("unknown")
     )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.functions.automaton import any_hit, hits
 from heddle.functions.names import text
 from heddle.functions.urls import URL_RULES, any_of
 from heddle.profile import Profile
@@ -36,25 +39,31 @@ def contains_any(c: Column, parts: tuple[str, ...]) -> Column:
     return c.rlike("|".join("\\Q" + p.replace("\\E", "\\E\\\\E\\Q") + "\\E" for p in parts))
 
 
-def role_hit(title: Column, profile: Profile) -> Column:
-    return contains_any(title, profile.role_keywords) if profile.role_keywords else F.lit(True)
+Has = Callable[[Column, tuple[str, ...]], Column]
+
+
+def role_hit(title: Column, profile: Profile, has: Has = contains_any) -> Column:
+    return has(title, profile.role_keywords) if profile.role_keywords else F.lit(True)
 
 
-def reasons(title: Column, location: Column, work_type: Column, profile: Profile) -> Column:
-    """Why a posting is rejected, in the order of the rules; an empty array accepts it. Null counts as empty."""
+def reasons(title: Column, location: Column, work_type: Column, profile: Profile, in_title: Has = contains_any, in_location: Has = contains_any) -> Column:
+    """Why a posting is rejected, in the order of the rules; an empty array accepts it. Null counts as empty.
+
+    ``in_title`` and ``in_location`` say whether one of some literals occurs in a title or location.
+    """
     t, loc, kind = (F.lower(text(c)) for c in (title, location, work_type))
-    hit = role_hit(t, profile)
+    hit = role_hit(t, profile, in_title)
     plain = tuple(k for k in profile.exclude_keywords if k not in SENIORITY)
     senior = tuple(k for k in profile.exclude_keywords if k in SENIORITY)
-    excluded = contains_any(t, plain) | (~hit & contains_any(t, senior))
+    excluded = in_title(t, plain) | (~hit & in_title(t, senior))
     bare = F.regexp_replace(F.trim(loc), r"\.+$", "")
-    american = contains_any(loc, US_MARKS) | bare.isin(*US_BARE)
+    american = in_location(loc, US_MARKS) | bare.isin(*US_BARE)
     for place in US_BARE:
         american = american | F.endswith(loc, F.lit(f" {place}")) | F.startswith(loc, F.lit(f"{place} "))
     regions = tuple(p for p in profile.location_pref if p not in NO_REGION)
     elsewhere = F.concat(F.lit("location '"), text(location), F.lit("' not in preferred list"))
-    place = F.when(kind == "remote", F.when(american & ~contains_any(loc, regions), F.lit(US_ONLY))).when(
-        kind.isin("hybrid", "onsite", ""), F.when(loc == "", F.lit(NO_PLACE)).when(~contains_any(loc, profile.location_pref), elsewhere)
+    place = F.when(kind == "remote", F.when(american & ~in_location(loc, regions), F.lit(US_ONLY))).when(
+        kind.isin("hybrid", "onsite", ""), F.when(loc == "", F.lit(NO_PLACE)).when(~in_location(loc, profile.location_pref), elsewhere)
     )
     return F.filter(F.array(F.when(~hit, F.lit(NOT_ROLE)), F.when(excluded, F.lit(EXCLUDED)), place), lambda x: x.isNotNull())
 
@@ -65,6 +74,27 @@ def match(postings: DataFrame, profile: Profile, title: str = "title", location:
     return postings.withColumn("reasons", why).withColumn("matched", F.size("reasons") == 0)
 
 
+def _by_hits(found: str, patterns: tuple[str, ...]) -> Has:
+    place = {p: i for i, p in enumerate(patterns)}
+
+    def has(_: Column, parts: tuple[str, ...]) -> Column:
+        return F.lit(True) if "" in parts else any_hit(F.col(found), [place[p] for p in parts])
+
+    return has
+
+
+def match_long(postings: DataFrame, profile: Profile, title: str = "title", location: str = "location", work_type: str = "work_type") -> DataFrame:
+    """As :func:`match`, for long texts and long lists: all literals of a text are found by one automaton in one pass.
+
+    Worth its way through Python where texts are long and lists have dozens of words; see the README for figures.
+    """
+    words = tuple(dict.fromkeys(p for p in (*profile.role_keywords, *profile.exclude_keywords) if p))
+    places = tuple(dict.fromkeys(p for p in (*US_MARKS, *profile.location_pref) if p))
+    found = postings.withColumns({"_words": hits(F.lower(text(F.col(title))), words), "_places": hits(F.lower(text(F.col(location))), places)})
+    why = reasons(F.col(title), F.col(location), F.col(work_type), profile, _by_hits("_words", words), _by_hits("_places", places))
+    return found.withColumn("reasons", why).withColumn("matched", F.size("reasons") == 0).drop("_words", "_places")
+
+
 def relevant(title: Column, role: Column, lead: bool = False) -> Column:
     """Whether a title names a role, spaces aside, and no other kind of role. With ``lead``, lead engineers are another
     kind of role, and development engineers are none."""

@@ -50,10 +50,10 @@ def sort_columns(mode: str, tie: str = "id") -> list[Column]:
     return {"company": [F.col("company").asc(), recent], "matched": [F.col("matched").desc(), recent]}.get(mode, [recent]) + [F.col(tie).asc()]
 
 
-def list_jobs(jobs: DataFrame, want: JobsFilter, as_of: float) -> DataFrame:
-    """A page: at most 1000 rows from an offset."""
+def list_jobs(jobs: DataFrame, want: JobsFilter, as_of: float, most: int = 1000) -> DataFrame:
+    """A page: at most ``most`` rows from an offset."""
     page = filtered(jobs, want, as_of).orderBy(*sort_columns(want.sort))
-    return page.offset(max(0, want.offset)).limit(max(1, min(1000, want.limit)))
+    return page.offset(max(0, want.offset)).limit(max(1, min(most, want.limit)))
 
 
 def count_jobs(jobs: DataFrame, want: JobsFilter, as_of: float) -> DataFrame:

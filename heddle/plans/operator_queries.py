@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from heddle.functions import dates, names, urls
 from heddle.operators import deltas, match, merge, registry, resolve, runs, search, serve, state
+from heddle.plans.sql import ORACLES as SQL
 from heddle.plans.sql import JOBS, MERGED, OBSERVED, among, board, has, host, key, q, segment
-from heddle.plans.views import AS_OF, entries, jobs, observations, table
+from heddle.plans.views import AS_OF, PROFILE, entries, jobs, observations, table
 from heddle.sources import collectors, parsers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -469,6 +470,13 @@ def company_order(spark, sf_dir):
 
 # Scalar functions and predicates
 
+
+@query(SQL["match_role_exclude"])
+def match_by_automaton(spark, sf_dir):
+    """P1 over whole texts, all literals found by one automaton."""
+    found = match.match_long(jobs(spark, sf_dir).withColumn("work_type", F.lit("any")), PROFILE)
+    return found.select("id", F.col("matched").cast("int").alias("matched"), F.array_join("reasons", "; ").alias("reasons"))
+
 _WHEN = "(epoch_ms(o_orderdate) + o_orderkey % 1000)"
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions.names import text
 from heddle.operators.resolve import summary
+from heddle.sources.json_arrays import RANGE, elements
 
 RAW_ENTRY = "company_name string, career_page_url string, website string, domain_hint string, ats_type string, source_platform string, board_token string, jobs_found long, slug string, location string"
 #: The columns of the CSV export and of the files by source.
@@ -16,15 +17,15 @@ CSV_COLUMNS = ("company_name", "website", "career_page_url", "ats_type", "ats_so
 BY_SOURCE_COLUMNS = ("company_name", "website", "career_page_url", "board_token", "domain_hint", "source_platforms")
 
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Files that each hold a JSON array, in file-name order; seq is the place over all of them.
+def read_entries(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """Files that each hold a JSON array, in file-name order; seq orders entries over all of them.
 
-    A file is one row until its array is taken apart, so its position is the array's. Nameless entries are dropped.
+    Files are read in ranges of ``size`` bytes, so that one file is many tasks; a file that is no array gives nothing.
+    Nameless entries are dropped.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    rows = files.select("file", F.posexplode(F.from_json("value", f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in RAW_ENTRY.split(', '))}>>")).alias("pos", "e"))
-    order = files.select("file").distinct().select("file", F.rank().over(Window.orderBy(F.substring_index("file", "/", -1), "file")).alias("n"))
-    return rows.join(F.broadcast(order), "file").select((F.col("n").cast("long") * F.lit(1 << 32) + F.col("pos")).alias("seq"), "e.*").where("company_name is not null")
+    kind = f"struct<{', '.join(c.replace(' ', ':', 1) for c in RAW_ENTRY.split(', '))}>"
+    rows = elements(spark, path, size).select((F.col("file_no") * F.lit(1 << 40) + F.col("at")).alias("seq"), F.from_json("value", kind).alias("e"))
+    return rows.select("seq", "e.*").where("company_name is not null")
 
 
 def _python_bool(c: Column) -> Column:
@@ -57,7 +58,10 @@ def write_by_source(companies: DataFrame, path: str) -> None:
 
 
 def write_snapshot(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Writes beside the target and then renames, so that readers see the old snapshot or the new one."""
+    """A plain folder, written beside the target and renamed into its place once it is whole.
+
+    Between the two renames a reader may find no folder; :func:`heddle.sources.snapshot.write_snapshot` has no such moment.
+    """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target, fresh, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"))
@@ -69,11 +73,12 @@ def write_snapshot(df: DataFrame, path: str, kind: str = "parquet") -> None:
     fs.delete(old, True)
 
 
-def log_lines(rows: DataFrame, *columns: str) -> DataFrame:
-    """Log lines: fields without bars of their own, a bar between them, at most 1000 characters."""
+def log_lines(rows: DataFrame, *columns: str, most: int = 1000) -> DataFrame:
+    """Log lines: fields without bars of their own, a bar between them, cut at ``most`` characters; 0 cuts none."""
     fields = [F.replace(text(F.col(c).cast("string")), F.lit("|"), F.lit("/")) for c in columns]
-    return rows.select(F.substring(F.concat_ws(" | ", *fields), 1, 1000).alias("value"))
+    line = F.concat_ws(" | ", *fields)
+    return rows.select((F.substring(line, 1, most) if most else line).alias("value"))
 
 
-def append_log(rows: DataFrame, path: str, *columns: str) -> None:
-    log_lines(rows, *columns).write.mode("append").text(path)
+def append_log(rows: DataFrame, path: str, *columns: str, most: int = 1000) -> None:
+    log_lines(rows, *columns, most=most).write.mode("append").text(path)

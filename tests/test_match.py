@@ -1,5 +1,9 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from heddle.functions import automaton
 from heddle.operators import match as m
 from heddle.operators import merge, registry, serve
 from heddle.profile import Profile
@@ -77,3 +81,25 @@ def test_progress_and_boards(spark):
     assert sorted(r["norm_key"] for r in registry.without_aggregators(rows).collect()) == ["1", "2", "3"]
     assert [r["norm_key"] for r in registry.reliable_boards(rows, "lever").collect()] == ["1"]
     assert tuple(registry.progress(rows, 10).first()) == (4, 3, 30.0, 7)
+
+
+def test_automaton_finds_all_occurrences(spark):
+    words, texts = ("he", "she", "hers", "his", "ÄB", "漢"), ["ushers", "", None, "his ÄB漢漢", "HE"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: (r["h"], [tuple(x) for x in r["s"]], [tuple(x) for x in r["l"]]) for r in df.select("i", automaton.hits(F.col("t"), words).alias("h"), automaton.spans(F.col("t"), words).alias("s"), automaton.spans(F.col("t"), words, False).alias("l")).collect()}
+    assert got[0] == ([0, 1, 2], [(1, 1, 4), (0, 2, 4), (2, 2, 6)], [(1, 1, 4)])
+    assert got[1] == got[2] == got[4] == ([], [], [])
+    assert got[3][0] == [3, 4, 5] and got[3][1] == got[3][2] == [(3, 0, 3), (4, 4, 6), (5, 6, 7), (5, 7, 8)]
+    assert df.select(automaton.hits(F.col("t"), ()).alias("h")).first()["h"] == []
+    with pytest.raises(ValueError):
+        automaton.hits(F.col("t"), ("a", "a"))
+
+
+def test_match_by_automaton_equals_match(spark):
+    rng = random.Random(6)
+    some = lambda xs, n: " ".join(rng.choice(xs) for _ in range(n))
+    titles, places = ["senior", "tester", "pen", "Lead", "sr.", "intern", "zz"], [*m.US_MARKS[:6], "Berlin", "remote", "Global", ", CA", "us", "india"]
+    rows = [(some(titles, rng.randint(0, 4)) or None, some(places, rng.randint(0, 3)) or None, rng.choice(["remote", "hybrid", "onsite", "", None, "other"])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "title string, location string, work_type string")
+    for profile in (Profile(("tester", "pen", "te"), ("senior", "sr.", "intern"), ("remote", "berlin", "india")), Profile(), Profile(("",), ("intern",), ("global",))):
+        assert sorted(map(str, m.match_long(df, profile).collect())) == sorted(map(str, m.match(df, profile).collect()))
