@@ -178,9 +178,12 @@ def board_root(board: Column, url: Column) -> Column:
     return F.when(board.isin(*PATH_BOARDS) & (first_segment(url) != ""), F.concat(root, F.lit("/"), first_segment(url))).otherwise(root)
 
 
-def url_rank(url: Column) -> Column:
-    """How good a careers URL is: 0 a board, 1 a directory, 2 a careers page, 3 a profile site, 4 anything else."""
-    board = board_from_url(url)
+def url_rank(url: Column, board: Column | None = None) -> Column:
+    """How good a careers URL is: 0 a board, 1 a directory, 2 a careers page, 3 a profile site, 4 anything else.
+
+    ``board`` is the URL's board where it is known already.
+    """
+    board = board_from_url(url) if board is None else board
     path = F.lower(text(F.try_parse_url(url, F.lit("PATH"))))
     return F.when(board == "yc", 1).when(board.isNotNull(), 0).when(any_of(path, CAREER_PARTS), 2).when(any_of(text(url), PROFILE_SITES), 3).otherwise(4)
 

@@ -46,26 +46,27 @@ def canonical_names(entries: DataFrame, key: str = "key", name: str = "company_n
     return spelled.groupBy(key).agg(F.min_by(name, F.struct(-F.col("n"), F.length(name), F.col("first"))).alias("name"))
 
 
-def _first(value: str) -> Column:
-    """The first value, trimmed, of those that aren't empty before trimming."""
-    return strip(F.min_by(value, F.when(text(F.col(value)) != "", F.col("seq")))).alias(value)
-
-
 def merge_entries(entries: DataFrame, discovered: DataFrame | None = None) -> DataFrame:
     """One row per company before boards are settled; ``discovered(company_name, ats, career_page_url, slug, seq)``."""
-    rows = entries.withColumn("key", company_key(F.col("company_name"), F.col("website"), F.col("career_page_url")))
-    url = strip(F.col("career_page_url"))
-    label = F.lower(F.coalesce(known(F.col("ats_type")), F.lit("unknown")))
-    merged = rows.groupBy("key").agg(
-        F.min("seq").alias("seq"),
-        F.array_sort(F.collect_set(F.when(url != "", F.struct(url_rank(url).alias("rank"), url.alias("url"))))).alias("ranked"),
-        _first("website"),
-        _first("domain_hint"),
-        F.array_sort(F.collect_set(known(F.col("source_platform")))).alias("source_platforms"),
-        F.array_sort(F.collect_set(label)).alias("labels"),
+    # The board of a URL is looked for once for each entry; the rank, and later the company's board, are taken from it.
+    url = strip(F.col("career_page_url")).alias("url")
+    rows = entries.select("seq", "company_name", "website", "domain_hint", "source_platform", "ats_type", url, company_key(F.col("company_name"), F.col("website"), F.col("career_page_url")).alias("key"))
+    rows = rows.withColumn("board", F.when(F.col("url") != "", board_from_url(F.col("url"))))
+    rows = rows.withColumn("ranked", F.when(F.col("url") != "", F.struct(url_rank(F.col("url"), F.col("board")).alias("rank"), "url", "board")))
+    label = F.lower(F.coalesce(known(F.col("ats_type")), F.lit("unknown"))).alias("label")
+    first = lambda c: F.min(F.when(text(F.col(c)) != "", F.struct("seq", c))).alias(c)
+    # By spelling, then by company: the name is the most frequent spelling, then the shortest, then the first.
+    spelled = rows.withColumn("label", label).groupBy("key", "company_name").agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"), F.collect_set("ranked").alias("ranked"), first("website"), first("domain_hint"), F.collect_set(known(F.col("source_platform"))).alias("sources"), F.collect_set("label").alias("labels")
     )
-    merged = merged.join(canonical_names(rows), "key").withColumn("urls", F.transform("ranked", lambda x: x["url"]))
-    merged = merged.withColumn("primary", F.coalesce(F.try_element_at("urls", F.lit(1)), "website")).withColumn("from_url", board_from_url(F.col("primary")))
+    together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    merged = spelled.groupBy("key").agg(
+        F.min("seq").alias("seq"), F.min_by("company_name", F.struct(-F.col("n"), F.length("company_name"), F.col("seq"))).alias("name"), together("ranked").alias("ranked"),
+        *(strip(F.min(c)[c]).alias(c) for c in ("website", "domain_hint")), together("sources").alias("source_platforms"), together("labels").alias("labels"),
+    )
+    merged = merged.withColumn("urls", F.transform("ranked", lambda x: x["url"]))
+    best = F.try_element_at("ranked", F.lit(1))
+    merged = merged.withColumn("primary", F.coalesce(best["url"], "website")).withColumn("from_url", F.when(best.isNotNull(), best["board"]).otherwise(board_from_url(F.col("website"))))
     # Labels are distinct, so the most common one is the first by name.
     guess = F.array_min(F.filter("labels", lambda x: ~x.isin("unknown", "custom")))
     other = F.when(F.array_contains("labels", "custom"), F.lit("custom")).otherwise(F.lit("unknown"))
