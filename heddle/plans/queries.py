@@ -231,7 +231,7 @@ def scan_cap(spark, sf_dir):
 
 @query
 def known_name_antijoin(spark, sf_dir):
-    """Customers whose number is no supplier's."""
+    """Customers whose number is no supplier's; J5 through its operator is known_names."""
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     key = lambda c: names.ascii_key(F.substring_index(c, "#", -1))
     return c.select("c_custkey", key(F.col("c_name")).alias("k")).join(s.select(key(F.col("s_name")).alias("k")), "k", "left_anti").select("c_custkey")
@@ -239,14 +239,14 @@ def known_name_antijoin(spark, sf_dir):
 
 @query
 def two_paths_expand(spark, sf_dir):
-    """Two careers pages for each supplier."""
+    """Two careers pages for each supplier; S31 through its operator is curated_paths."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array(F.lit("/careers"), F.lit("/jobs"))).alias("path"))
     return s.select("s_suppkey", F.concat(F.lit("https://supplier-"), F.col("s_suppkey").cast("string"), F.lit(".com"), "path").alias("url"))
 
 
 @query
 def daily_new(spark, sf_dir):
-    """Keys first seen on each day."""
+    """Keys first seen on each day; U7 through its operator is daily_counters."""
     first = observations(spark, sf_dir).groupBy("board", "job").agg(F.min("tick").alias("day"))
     return first.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("jobs_new"))
 
@@ -263,7 +263,7 @@ def applied_flag(spark, sf_dir):
 
 @query
 def upsert_state(spark, sf_dir):
-    """Per board and job first and last day and the last value."""
+    """What U1 keeps, as one aggregation; through its operator see tick_state."""
     o = observations(spark, sf_dir)
     return o.groupBy("board", "job").agg(F.min("tick").cast("string").alias("first_tick"), F.max("tick").cast("string").alias("last_tick"), F.max_by("value", "event_id").alias("value"))
 
@@ -311,14 +311,14 @@ def junk_slug(spark, sf_dir):
 
 @query
 def consolidate(spark, sf_dir):
-    """Three lists of entries as one list of companies."""
+    """Three lists of entries as one list of companies."""
     found = resolve.settle_boards(resolve.merge_entries(entries(spark, sf_dir)))
     return found.select("company_name", "website", "career_page_url", joined("alternate_career_urls", " ").alias("alternates"), "ats_type", "ats_source", F.col("ats_conflict").cast("int").alias("ats_conflict"), joined("agent_ats_labels").alias("labels"), "board_token", "domain_hint", joined("source_platforms").alias("sources"))
 
 
 @query
 def company_summary(spark, sf_dir):
-    """Companies by source and how many have a token."""
+    """Companies by source and how many have a token."""
     return serve.company_stats(resolve.merge_entries(entries(spark, sf_dir)))
 
 
@@ -388,7 +388,7 @@ def detect_host(spark, sf_dir):
 
 @query
 def posted_parse(spark, sf_dir):
-    """F18, F19, F20 over orders whose dates are written in several ways."""
+    """F19, F20 over orders whose dates are written in several ways."""
     o = table(spark, sf_dir, "orders")
     forms = F.array(F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" soon")), F.date_format("o_orderdate", "yyyy"), F.lit(""), F.date_format("o_orderdate", "dd.MM.yyyy"))
     o = o.select("o_orderkey", F.element_at(forms, (F.col("o_orderkey") % 6 + 1).cast("int")).alias("posted"))
