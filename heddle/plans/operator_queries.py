@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions import dates, names, urls
-from heddle.operators import deltas, match, merge, registry, resolve, runs, search, serve, state
+from heddle.operators import deltas, liveness, match, merge, registry, resolve, runs, search, serve, state
 from heddle.plans.sql import ORACLES as SQL
-from heddle.plans.sql import JOBS, MERGED, OBSERVED, among, board, has, host, key, q, segment
+from heddle.plans.sql import FETCHED, JOBS, MERGED, OBSERVED, VERDICT, among, board, has, host, key, q, segment
 from heddle.plans.views import AS_OF, PROFILE, entries, jobs, observations, table
 from heddle.sources import collectors, parsers
 
@@ -385,6 +385,23 @@ def to_check(spark, sf_dir):
     return runs.to_check(jobs(spark, sf_dir), ("src1", "src2")).select("id")
 
 
+@query(f"select page_id from {FETCHED} where {VERDICT} <> 'dead'")
+def pruned_links(spark, sf_dir):
+    """Pages without those found dead."""
+    from heddle.plans.queries import _fetched
+
+    found = _fetched(spark, sf_dir)
+    checked = found.select("page_id", liveness.verdict(F.col("url"), F.col("status"), F.col("html")).alias("verdict"))
+    return liveness.prune(found, checked, "page_id").select("page_id")
+
+
+@query(f"select job_id, min(id) as applied_at from {JOBS} where id % 3 <> 0 group by job_id, ats union all select job_id, id + 1000000 from {JOBS} where id % 3 = 0")
+def saved_flags(spark, sf_dir):
+    """Postings kept as applied outside the state; a new entry of a key replaces the old one."""
+    j = jobs(spark, sf_dir).select(*state.KEY, F.col("id").alias("applied_at"))
+    return runs.saved_applied(j, j.where("applied_at % 3 = 0").withColumn("applied_at", F.col("applied_at") + 1000000)).select("job_id", "applied_at")
+
+
 @query(f"""select count(*) filter (closed = 0) as total, count(*) filter (closed = 0 and matched = 1) as matched, count(*) filter (closed = 0 and applied = 1) as applied, count(*) filter (closed = 1) as closed,
   count(*) filter (closed = 0 and first_seen >= {AS_OF} - 86400) as last_24h, count(*) filter (closed = 0 and matched = 1 and first_seen >= {AS_OF} - 86400) as matched_24h from {JOBS} where id % 5 <> 0""")
 def tiles_by_deltas(spark, sf_dir):

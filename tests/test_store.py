@@ -177,3 +177,16 @@ def test_stream_into_stored_state_and_counts(spark, tmp_path):
     assert as_rows(state.read().collect()) == as_folded(rows) and state.manifest()["batch"] == 2
     assert counts_of(cells.read().select(*d.POSTING_CELL, "n")) == counts_of(d.recount(state.read()).select(*d.POSTING_CELL, "n"))
     assert Path(tmp_path / "s" / "manifests").exists()
+
+
+def test_registry_upserts_by_buckets(spark, tmp_path):
+    """U6 as a merge: the registry after batches in buckets equals the registry after the same batches as a whole."""
+    columns = "norm_key string, name string, website string, career_page_url string, ats_type string, source string, http_status string, reliable int, first_seen double"
+    held, whole, rng = store(spark, tmp_path / "r", schema=columns, by=("norm_key",)), spark.createDataFrame([], columns), random.Random(8)
+    for t in range(3):
+        batch = spark.createDataFrame([(f"k{rng.randrange(20)}", f"n{rng.randrange(3)}", rng.choice(["", "w"]), rng.choice(["", "u"]), rng.choice(["unknown", "lever"]), "s", "200", rng.randint(0, 1), float(t), i) for i in range(12)], columns + ", seq int")
+        done = registry.registry_upsert(whole, batch).drop("is_new", "became_reliable")
+        whole = spark.createDataFrame(done.collect(), columns)
+        touched = held.apply(batch, lambda old, new: registry.registry_upsert(old, new).drop("is_new", "became_reliable"), batch=t)
+        assert 0 < len(touched) <= 12
+    assert sorted(map(str, held.read().select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
