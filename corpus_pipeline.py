@@ -24,7 +24,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard 0.8 or more) stays, the one with the smallest id."""
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Near copies have a five-word Jaccard of 0.8 or more: SimHash finds those within its radius, which are then compared, and an
+    exact search the rest.
+    """
     return one_of_each_group(docs, groups_of=similar_groups)
 
 

@@ -1,11 +1,16 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, exactly.
+"""Near-duplicates by SimHash, and by the Jaccard similarity of word shingles for what it misses, exactly.
+
+SimHash comes first: texts whose fingerprints differ in RADIUS bits or fewer, found by op8's fuzzy keys, are compared, and
+those that reach the similarity are linked. At a similarity of 0.8 some ten bits differ, so that many similar pairs are
+farther apart than any search by fingerprints can reach; the rest of this module finds these, and looks only at pairs
+that the links so far don't join already.
 
 Two sets of n shingles or more that reach a similarity of t share at least ceil(t n) of them. So, in any one order of
 all shingles, the first n - ceil(t n) + 1 of each set (its prefix) hold a common shingle: prefixes are keys that cover
 every pair. The order is by hash, shingles that a sample finds repeated last, so that prefixes hold rare ones; whatever
 the sample says, the order is the same for all sets and no pair is lost.
 
-Equal sets are one class. Within the classes of a key, first each is verified against one of them, the one whose keys most
+Equal sets are one class. Within the classes of a key, after SimHash, each is first verified against one of them, the one whose keys most
 others have: the text that the others are copies of, if it is there. What that links is one component; the next one of
 each key is then verified against those outside its component, and at last only pairs across components are. So a
 large group of near copies costs a pair or two for each of its classes and key, not all of its pairs.
@@ -25,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import materialise, ship, type_of
+from heddle.llm.common import materialise, ship, type_of, worker_memory
 from heddle.llm.components import components
+from heddle.llm.simhash_dedup import RADIUS, fingerprint_links, majority
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Documents in which repeated shingles are looked for, and most of these.
@@ -96,6 +102,7 @@ def _class(hashes: np.ndarray) -> int:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    worker_memory("near copies")
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             piece = batch.slice(at, 256)
@@ -113,7 +120,8 @@ def _prefix_batches(batches: Iterator[pa.RecordBatch], shared, size: int, simila
         sets = [shingles(t, size) for t in texts]
         keys = [prefix(s, common, similarity).tobytes() for s in sets]
         words = np.array([sketch(s) for s in sets], np.int64).reshape(len(sets), 4)
-        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(list(map(_class, sets)), pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.binary()), pa.array(list(map(bitmap, sets)), pa.binary()), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(4))], names=["id", "class", "n", "prefix", "bits", *_SKETCH])
+        prints = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(list(map(_class, sets)), pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.binary()), pa.array(list(map(bitmap, sets)), pa.binary()), pa.array(prints), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(4))], names=["id", "class", "n", "prefix", "bits", "fp", *_SKETCH])
 
 
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +214,15 @@ def _similar_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> It
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def simhash_pairs(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``classes(class, fp)`` -> pairs ``(u, v)`` whose components are those of all classes with fingerprints within ``radius``."""
+    least = materialise(classes.groupBy("fp").agg(F.min("class").alias("least")), "fingerprints")
+    u, v = (least.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_class")) for x in ("u", "v"))
+    near = fingerprint_links(least, radius).distinct().join(v, "v").join(u, "u").select(F.col("u_class").alias("u"), F.col("v_class").alias("v"))
+    same = classes.join(least, "fp").where("class <> least").select(F.col("class").alias("u"), F.col("least").alias("v"))
+    return near.unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, sample: int = SAMPLE) -> DataFrame:
     """One row ``(id, component)`` for each input row; component is the smallest id reachable by similar texts.
 
@@ -221,9 +238,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     common = [r["key"] for r in often.orderBy(F.desc("count"), "key").limit(COMMON).collect()]
     shared = spark.sparkContext.broadcast(np.sort(np.array(common, np.int64).view(np.uint64)))
 
-    rows = docs.mapInArrow(lambda b: _prefix_batches(b, shared, size, similarity), f"id {type_of(df, id_col)}, class long, n int, prefix binary, bits binary, {_NUMBERS}")
+    rows = docs.mapInArrow(lambda b: _prefix_batches(b, shared, size, similarity), f"id {type_of(df, id_col)}, class long, n int, prefix binary, bits binary, fp long, {_NUMBERS}")
     rows = materialise(rows, "prefixes")
-    classes = rows.groupBy("class").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), *(F.first(c).alias(c) for c in _SKETCH))
+    classes = rows.groupBy("class").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("fp").alias("fp"), *(F.first(c).alias(c) for c in _SKETCH))
     classes = materialise(classes, "classes")
     keys = classes.select("class", "n", "prefix", *_SKETCH).mapInArrow(_key_batches, f"key long, class long, n int, {_NUMBERS}")
     runs = keys.repartition("key").sortWithinPartitions("key")
@@ -243,6 +260,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         both = pairs.join(v, "v").join(u, "u").select("u", "v", "u_set", "v_set")
         return materialise(both.mapInArrow(lambda b: _similar_batches(b, similarity), "u long, v long"), "similar")
 
+    links = verified(simhash_pairs(classes.select("class", "fp")))
+    roots = materialise(components(links), "roots").withColumnRenamed("node", "class")
     # A class's reach: how many other classes its keys have. That of a text of which others are copies is largest.
     sizes = met.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others"))
     reach = met.join(sizes, "key").groupBy("class").agg(F.sum("others").alias("reach"))
@@ -250,14 +269,13 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = met.join(reach, "class").select("key", "class", "n", nth.alias("nth")).where(F.col("nth") <= STARS)
     heads = materialise(heads.select("key", F.col("class").alias("u"), F.col("n").alias("m"), "nth"), "heads")
     close = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
-    links = roots = None
     for star in range(1, STARS + 1):
         stars = met.select("key", "class", "n").join(heads.where(F.col("nth") == star), "key").where((F.col("u") != F.col("class")) & close)
-        if roots is not None:  # what is joined already needs no more links
-            of_head = roots.select(F.col("class").alias("u"), F.col("root").alias("head_root"))
-            stars = stars.join(roots, "class", "left").join(of_head, "u", "left").where(F.coalesce("root", "class") != F.coalesce("head_root", "u"))
+        # What is joined already needs no more links.
+        of_head = roots.select(F.col("class").alias("u"), F.col("root").alias("head_root"))
+        stars = stars.join(roots, "class", "left").join(of_head, "u", "left").where(F.coalesce("root", "class") != F.coalesce("head_root", "u"))
         found = verified(stars.select(F.least("u", "class").alias("u"), F.greatest("u", "class").alias("v")))
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         roots = materialise(components(links), "roots").withColumnRenamed("node", "class")
     held = met.join(roots, "class", "left").select("key", "class", "n", F.coalesce("root", "class").alias("root"), *_SKETCH)
     across = held.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _across_batches(b, similarity), "u long, v long")

@@ -34,6 +34,15 @@ GENERATOR = 0xC75
 SHORT_RUN = 32
 
 
+def majority(digests: np.ndarray) -> int:
+    """The SimHash of shingle hashes: the bits that over half of them have; of none: zero."""
+    raw = np.ascontiguousarray(digests, np.uint64).view(np.uint8).reshape(-1, 8)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(raw), 4096):
+        ones += np.unpackbits(raw[at : at + 4096], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(raw), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
     """SimHash of a text's word shingles as unsigned 64 bits; no words: zero."""
     from xxhash import xxh64_intdigest
@@ -48,11 +57,7 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         digests = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    raw = np.array(digests, np.uint64).view(np.uint8).reshape(-1, 8)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(raw), 4096):
-        ones += np.unpackbits(raw[at : at + 4096], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(raw), bitorder="little").view(np.uint64)[0])
+    return majority(np.array(digests, np.uint64))
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, seed: int) -> Iterator[pa.RecordBatch]:

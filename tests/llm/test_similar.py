@@ -96,3 +96,35 @@ def test_many_components_of_one_key(spark):
     links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     got = {r["id"]: r["component"] for r in sh.similar_groups(rows, sample=0).collect()}
     assert got == dict(enumerate(roots(len(sets), links)))
+
+
+def test_simhash_links_come_first(spark, monkeypatch):
+    """The pipeline's stage searches by fingerprints, and what that links is verified and not looked for again."""
+    if importlib.util.find_spec("corpus_pipeline") is None:
+        pytest.skip("no pipeline here")
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    near = [" ".join([*base[:at], "new", *base[at + 1 :]]) for at in range(10, 110, 10)]
+    docs = spark.createDataFrame(list(enumerate([" ".join(base), *near, " ".join(base[:80]), None, ""])), "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(sh, "fingerprint_links", lambda prints, radius, f=sh.fingerprint_links: seen.append([r["fp"] for r in prints.collect()]) or f(prints, radius))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()) == [0, 11, 12]
+    texts = [r["text"] for r in docs.collect()]
+    assert sorted(seen[0]) == sorted({np.uint64(sh.majority(sh.shingles((t or "").encode()))).astype(np.int64) for t in texts})
+
+
+def test_simhash_pairs_equal_brute_force(spark):
+    rng = random.Random(22)
+    prints = [rng.getrandbits(64) for _ in range(40)]
+    for fp in prints[:20]:
+        for _ in range(rng.randint(1, 40)):
+            near = fp
+            for bit in rng.sample(range(64), rng.randint(0, 6)):
+                near ^= 1 << bit
+            prints.append(near)
+    rows = spark.createDataFrame([(k, int(np.uint64(x).astype(np.int64))) for k, x in enumerate(prints)], "class long, fp long")
+    links = [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    got = [(r["u"], r["v"]) for r in sh.simhash_pairs(rows).collect()]
+    assert all(u < v for u, v in got) and roots(len(prints), got) == roots(len(prints), links)
