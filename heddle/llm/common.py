@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -140,10 +142,20 @@ def worker_memory(owner: str) -> dict:
     """
     if owner not in _worker_memory:
         _worker_memory.clear()
+        give_back()
         _worker_memory[owner] = {}
     return _worker_memory[owner]
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system: Arrow's and the C library's allocators keep what is freed for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def byte_slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """(first, end) of runs of rows that hold at most ``most`` bytes together; a larger row is a run of its own."""
     first = held = 0

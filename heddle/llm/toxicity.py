@@ -327,6 +327,7 @@ def _part(sample: _Sample, parts: np.ndarray, k: int, *how) -> Model | np.ndarra
 
 
 def _part_batches(batches: Iterator[pa.RecordBatch], shared, *how) -> Iterator[pa.RecordBatch]:
+    worker_memory("toxicity fit")  # what an earlier operator remembers goes before the fit takes its share
     for batch in batches:
         ks = batch.column(0).to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array([pickle.dumps(_part(*shared.value, k, *how)) for k in ks], pa.binary())], names=["k", "fitted"])

@@ -91,3 +91,11 @@ def test_labels_without_texts_take_no_places(spark):
     model = tx.train(docs, labels.unionByName(others), sample_rows=200)
     scores = {r["id"]: r["score"] for r in tx.toxicity(docs, model).collect()}
     assert np.mean([(scores[i] >= 0.5) == y for i, (_, y, _) in enumerate(rows)]) > 0.9
+
+
+def test_fit_lets_go_of_other_operators_memory():
+    from heddle.llm import common
+    from heddle.llm import toxicity as tx
+
+    common.worker_memory("token output")["words"] = bytearray(1000)
+    assert list(tx._part_batches(iter([]), None)) == [] and "token output" not in common._worker_memory
