@@ -39,7 +39,10 @@ SAMPLE = 20_000
 SUBSPACES, CODEWORDS, ROUNDS = 8, 256, 8
 #: About so many vectors of a block, and most queries, in one group.
 LIST_CHUNK, QUERY_CHUNK = 2048, 4096
-_SLACK = 1e-6
+#: Queries and vectors whose distances are looked up at a time.
+TILE = 256
+#: What a distance may be off by, and a squared one that is summed in single precision.
+_SLACK, _ROUNDING = 1e-6, 1e-4
 
 
 @dataclass
@@ -91,29 +94,75 @@ def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return coarse, codes, np.sqrt(((residual - known) ** 2).sum(1))
 
 
-def probes(index: Index, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) for every list that can hold a vector within ``reach`` of the row."""
+def probes(index: Index, x: np.ndarray, reach: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) for every list that can hold a vector within ``reach`` of the row.
+
+    Given each row's own list, only lists up to it: a pair of two lists is then found from the side of the later one alone.
+    """
     far = _squares(x, index.centroids)
-    near = far.argmin(1)
+    near = far.argmin(1) if own is None else own
     between = np.sqrt(_squares(index.centroids, index.centroids))[near]
-    return np.nonzero(far - far[np.arange(len(x)), near][:, None] <= 2 * reach * between + _SLACK)
+    can = far - far[np.arange(len(x)), near][:, None] <= 2 * reach * between + _SLACK
+    return np.nonzero(can if own is None else can & (np.arange(len(index.centroids)) <= own[:, None]))
+
+
+@dataclass
+class Coded:
+    """Vectors of some lists as the index holds them, sorted by list. ``fixed`` is the part of a distance that no query changes."""
+
+    x: np.ndarray
+    lists: np.ndarray
+    codes: np.ndarray
+    left: np.ndarray
+    fixed: np.ndarray
+
+
+def coded(index: Index, x: np.ndarray, lists: np.ndarray, codes: np.ndarray, left: np.ndarray) -> Coded:
+    known = np.concatenate([b[codes[:, j]] for j, b in enumerate(index.codebooks)], 1)
+    return Coded(x, lists, codes, left, ((index.centroids[lists] + known) ** 2).sum(1))
 
 
 def search(index: Index, coarse: int, db: np.ndarray, codes: np.ndarray, left: np.ndarray, queries: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, vector) pairs of one list whose cosine reaches the threshold; all rows are unit vectors."""
+    held = coded(index, db, np.full(len(db), coarse), codes, left)
+    return search_lists(index, held, queries, np.full(len(queries), coarse), cosine, math.sqrt(max(0.0, 2 - 2 * cosine)))
+
+
+def search_lists(index: Index, db: Coded, queries: np.ndarray, own: np.ndarray, cosine: float, probed: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) pairs whose cosine reaches the threshold, the vector's list not after the query's; all rows are unit
+    vectors, and queries are sorted by their own list. ``probed`` is the reach of probes.
+
+    The distance to a coded vector c + r is |q|^2 - 2 q.c - 2 q.r + |c + r|^2. Its q.r is a sum of one table entry for each
+    subspace, and the tables are the same for all lists, so a tile of queries and vectors takes all of its look-ups at once.
+    """
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
+    bound = ((reach + db.left + _SLACK) ** 2 + _ROUNDING - db.fixed).astype(np.float32)
+    starts = np.flatnonzero(np.r_[True, db.lists[1:] != db.lists[:-1]])
     rows, cols = [], []
-    for at in range(0, len(queries), 512):
-        q = queries[at : at + 512]
-        r = q - index.centroids[coarse]
-        total = np.zeros((len(q), len(db)))
-        for j, (s, book) in enumerate(zip(index.splits, index.codebooks, strict=True)):
-            total += _squares(r[:, s], book)[:, codes[:, j]]
-        i, k = np.nonzero(np.sqrt(total) <= reach + left + _SLACK)
-        exact = np.concatenate([np.einsum("ij,ij->i", q[i[c : c + 65536]], db[k[c : c + 65536]]) for c in range(0, len(i), 65536)]) if len(i) else np.empty(0)
-        keep = exact >= cosine
-        rows.append(i[keep] + at)
-        cols.append(k[keep])
+    for at in range(0, len(queries), TILE):
+        q, mine = queries[at : at + TILE], own[at : at + TILE]
+        row, asked = probes(index, q, probed, mine)
+        wanted = np.zeros((len(index.centroids), len(q)), bool)
+        wanted[asked, row] = True
+        some = np.repeat(wanted.any(1)[db.lists[starts]], np.diff(np.r_[starts, len(db.lists)]))
+        held = np.flatnonzero(some)
+        squares = (q**2).sum(1).astype(np.float32)
+        tables = [(-2 * book @ q[:, s].T).astype(np.float32) for s, book in zip(index.splits, index.codebooks, strict=True)]
+        coarse = (-2 * index.centroids @ q.T).astype(np.float32) + squares
+        for first in range(0, len(held), TILE):
+            k = held[first : first + TILE]
+            total = coarse[db.lists[k]]
+            for table, code in zip(tables, db.codes[k].T, strict=True):
+                total += table[code]
+            near = total <= bound[k][:, None]
+            near &= wanted[db.lists[k]]
+            v, i = np.nonzero(near)
+            if len(v) * 16 > near.size:  # many: all products of the tile at once come cheaper, and thin them
+                v, i = np.nonzero(near & (db.x[k] @ q.T >= cosine - _SLACK))
+            exact = np.einsum("ij,ij->i", q[i], db.x[k[v]])
+            keep = exact >= cosine
+            rows.append(i[keep] + at)
+            cols.append(k[v[keep]])
     return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
@@ -136,7 +185,7 @@ def _probe_batches(batches: Iterator[pa.RecordBatch], shared, reach: float) -> I
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            row, lists = probes(index, _unit(part.column("v")), reach)
+            row, lists = probes(index, _unit(part.column("v")), reach, part.column("list").to_numpy())
             ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("label"), part.column("class_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(lists.astype(np.int32)))], names=["label", "class_id", "lists"])
 
@@ -158,6 +207,11 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _by_list(rows: pd.DataFrame, x: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    order = np.argsort(rows["list"].to_numpy(), kind="stable")
+    return rows.iloc[order], x[order]
+
+
 def _search_group(shared, cosine: float, reach: float):
     def run(key: tuple, db: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         nothing = pd.DataFrame({"q": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
@@ -165,24 +219,21 @@ def _search_group(shared, cosine: float, reach: float):
             return nothing
         x, q = (np.stack(d["v"].to_numpy()).astype(np.float64) for d in (db, queries))
         x, q = (y / np.sqrt((y**2).sum(1))[:, None] for y in (x, q))
+        db, x, queries, q = *_by_list(db, x), *_by_list(queries, q)
         codes = np.frombuffer(b"".join(db["codes"]), np.uint8).reshape(len(db), -1)
-        left, lists = db["left_out"].to_numpy(), db["list"].to_numpy()
-        asking, asked = np.concatenate([np.stack(probes(shared.value, q[at : at + 1024], reach)) + [[at], [0]] for at in range(0, len(q), 1024)], 1)
-        order = np.argsort(asked, kind="stable")
-        asking, asked = asking[order], asked[order]
-        pairs = []
-        for a in np.unique(lists):
-            held, ask = np.flatnonzero(lists == a), asking[np.searchsorted(asked, a) : np.searchsorted(asked, a, "right")]
-            j, m = search(shared.value, int(a), x[held], codes[held], left[held], q[ask], cosine)
-            pairs.append((ask[j], held[m]))
-        i, k = (np.concatenate(y) for y in zip(*pairs, strict=True))
+        lists, own = db["list"].to_numpy(), queries["list"].to_numpy()
+        held = coded(shared.value, x, lists, codes, db["left_out"].to_numpy())
+        i, k = search_lists(shared.value, held, q, own, cosine, reach)
         ids, qids = db["class_id"].to_numpy(), queries["class_id"].to_numpy()
         other = ids[k] != qids[i]
         i, k = i[other], k[other]
+        # Vectors of one list ask for each other; of two lists only one asks, and its find counts for both.
         counts = np.bincount(i, db["copies"].to_numpy()[k].astype(np.float64), minlength=len(queries)).astype(np.int64)
-        at = np.flatnonzero(counts)
+        both = lists[k] != own[i]
+        back = np.bincount(k[both], queries["copies"].to_numpy()[i[both]].astype(np.float64), minlength=len(db)).astype(np.int64)
         links = _forest(qids[i], ids[k])
-        return pd.DataFrame({"q": np.concatenate([qids[at], np.array([a for a, _ in links], np.int64)]), "v": np.concatenate([np.full(len(at), -1), np.array([b for _, b in links], np.int64)]), "n": np.concatenate([counts[at], np.zeros(len(links), np.int64)])})
+        who, n = np.concatenate([qids[counts > 0], ids[back > 0]]), np.concatenate([counts[counts > 0], back[back > 0]])
+        return pd.DataFrame({"q": np.concatenate([who, np.array([a for a, _ in links], np.int64)]), "v": np.concatenate([np.full(len(who), -1), np.array([b for _, b in links], np.int64)]), "n": np.concatenate([n, np.zeros(len(links), np.int64)])})
 
     return run
 
@@ -235,9 +286,10 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     blocks = broadcast_if_small(materialise(blocks, "blocks"), 100_000)
     # Probes are names alone until each query has one row for each of its blocks.
     label_type = "label " + type_of(df, label_col)
-    probing = narrow.mapInArrow(lambda b: _probe_batches(b, shared, reach), f"{label_type}, class_id long, lists array<int>")
+    probing = listed.select("label", "v", "class_id", "list").mapInArrow(lambda b: _probe_batches(b, shared, reach), f"{label_type}, class_id long, lists array<int>")
     asked = probing.select("label", "class_id", F.explode("lists").alias("list")).join(blocks, ["label", "list"]).select("label", "block", "class_id").distinct()
     asked = materialise(asked, "probes")
+    asking = listed.select("class_id", *(F.col(c).alias(c) for c in ("v", "copies", "list")))
     listed = listed.join(blocks.select("label", "list", "block"), ["label", "list"])
     # A block of n vectors has ceil(n / LIST_CHUNK) chunks, and its queries as many as they need; each pair of
     # chunks is a group, and each side is copied to the chunks of the other.
@@ -246,10 +298,10 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     chunks = broadcast_if_small(materialise(a.join(b, ["label", "block"]), "chunks"), 100_000)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     db = listed.join(chunks, ["label", "block"]).withColumn("dc", F.pmod(F.xxhash64("class_id"), "n_db")).withColumn("qc", every("n_q"))
-    queries = asked.join(narrow.select("class_id", "v"), "class_id").join(chunks, ["label", "block"])
+    queries = asked.join(asking, "class_id").join(chunks, ["label", "block"])
     queries = queries.withColumn("qc", F.pmod(F.xxhash64("class_id"), "n_q")).withColumn("dc", every("n_db"))
     keys = ["label", "block", "dc", "qc"]
-    found = db.select(*keys, "list", "class_id", "v", "copies", "codes", "left_out").groupBy(*keys).cogroup(queries.select(*keys, "class_id", "v").groupBy(*keys))
+    found = db.select(*keys, "list", "class_id", "v", "copies", "codes", "left_out").groupBy(*keys).cogroup(queries.select(*keys, "list", "class_id", "v", "copies").groupBy(*keys))
     found = materialise(found.applyInPandas(_search_group(shared, cosine, reach), "q long, v long, n long"), "found")
 
     linked = found.where("n > 0").groupBy(F.col("q").alias("class_id")).agg(F.sum("n").alias("n"))

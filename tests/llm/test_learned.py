@@ -122,3 +122,22 @@ def test_search_loses_nothing():
         i, k = ed.search(index, c, x[db], codes[db], left[db], x[q], 0.93)
         found |= set(zip(q[i].tolist(), db[k].tolist(), strict=True))
     assert found == set(zip(*(a.tolist() for a in np.nonzero(x @ x.T >= 0.93)), strict=True))
+
+
+def test_pairs_of_lists_are_met_from_one_side():
+    """Of two lists only the later one asks, and what both sides of all lists would find is found whole."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 12))
+    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.1])
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    index = ed.fit_index(x[::2], len(x))
+    coarse, codes, left = ed.encode(index, x)
+    order = np.argsort(coarse, kind="stable")
+    x, coarse, codes, left = x[order], coarse[order], codes[order], left[order]
+    reach = (2 - 2 * 0.93) ** 0.5
+    who, lists = ed.probes(index, x, reach, coarse)
+    assert (lists <= coarse[who]).all() and len(who) < 0.7 * len(ed.probes(index, x, reach)[0])
+    i, k = ed.search_lists(index, ed.coded(index, x, coarse, codes, left), x, coarse, 0.93, reach)
+    got = list(zip(i.tolist(), k.tolist(), strict=True))
+    a, b = np.nonzero(x @ x.T >= 0.93)
+    assert len(got) == len(set(got)) and set(got) == {(p, q) for p, q in zip(a.tolist(), b.tolist(), strict=True) if coarse[q] <= coarse[p]}
