@@ -40,12 +40,12 @@ BLOCK = 1 << 16
 FILE_IDS, FILE_DOCS = 1 << 24, 1 << 20
 #: Words that a worker remembers, ids of these and of longer words that it holds, and bytes of text that are split at a time.
 CACHE_WORDS, CACHE_IDS, SLICE_BYTES = 800_000, 1 << 22, 1 << 21
-#: Marks that are pre-tokens of their own after a letter and before white space.
-_LONE = (b".", b",")
+#: ASCII marks: a run of them after a letter or digit and before white space is a pre-token of its own.
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _FOOTER, _CHUNK = struct.Struct("<QQII4s"), struct.Struct("<QI32I")
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
-#: ASCII letters, and the last bytes of Latin-1 letters after 0xC3.
-_LETTERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+#: ASCII letters and digits, and the last bytes of Latin-1 letters after 0xC3.
+_ALNUM = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _LATIN = frozenset(range(0x80, 0xC0)) - {0x97, 0xB7}
 #: Small letters of ASCII and Latin-1.
 _SMALL_ONLY = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
@@ -192,16 +192,16 @@ class WordEncoder:
         return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def _plain(self, word: bytes) -> tuple[bytes, bytes]:
-        """A word as the memory keeps it, and a mark after it. Lower-casing an ASCII word changes no id, as the tokenizer
+        """A word as the memory keeps it, and the marks after it. Lower-casing an ASCII word changes no id, as the tokenizer
         does so anyway, but for special tokens, which it looks for before; beside other characters it may, as the
-        tokenizer composes first and J has no composite where j has one. A lone full stop or comma after a letter is a
-        pre-token of its own."""
+        tokenizer composes first and J has no composite where j has one. Marks at the end, after a letter or digit, are one
+        pre-token of their own, so that a word costs the same however many kinds of marks it comes with."""
         if b"<" in word and any(x in word.lower() for x in self.special):
             return word, b""
-        mark = b""
-        if word[-1:] in _LONE and len(word) > 1 and (word[-2] in _LETTERS or (len(word) > 2 and word[-3] == 0xC3 and word[-2] in _LATIN)):
-            word, mark = word[:-1], word[-1:]
-        return (word.lower() if word.isascii() else word), mark
+        bare = word.rstrip(_MARKS)
+        if not (bare and (bare[-1] in _ALNUM or (len(bare) > 1 and bare[-2] == 0xC3 and bare[-1] in _LATIN))):
+            bare = word
+        return (bare.lower() if bare.isascii() else bare), word[len(bare) :]
 
     def _append(self, new: np.ndarray, lengths: np.ndarray) -> int:
         """Puts ids into new slots; returns the first one's number."""
@@ -224,7 +224,7 @@ class WordEncoder:
 
     def _learn(self, words: list[bytes]) -> None:
         """Slots for new words."""
-        # Words of ASCII letters have no mark and are no special token.
+        # Words of ASCII letters have no marks and are no special token.
         plain = [(w.lower(), b"") if w.isalpha() else self._plain(w) for w in words]
         known = self.slots
         unknown = [w for w in {w for w, _ in plain} | {m for _, m in plain} if w not in known]
@@ -252,7 +252,7 @@ class WordEncoder:
             return self._fresh(texts.to_pylist())
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.cast(pa.binary()).to_pylist()
+        distinct = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         got = list(map(self.slots.get, distinct))
         if missing := [w for w, s in zip(distinct, got, strict=True) if s is None]:
             held = int(self.ends[self.n - 1]) if self.n else 0

@@ -97,3 +97,13 @@ def test_shared_prefixes_are_scored_once(monkeypatch):
     model.scores = type("Seen", (dict,), {"get": lambda self, k: (asked.append(k), dict.get(self, k))[1]})(model.scores)
     assert list(model.count_sorted(["ab", "aba", "abab"])) == [1, 2, 2]
     assert len(asked) == 1 + 2 + 3 + 3
+
+
+def test_marks_are_learnt_apart_from_words():
+    """A word with many kinds of marks after it is asked for once, and so is each run of marks."""
+    encode, whole, asked = to.WordEncoder(WORDS), Tokenizer.from_file(WORDS), []
+    fresh, small = encode._fresh, encode._fresh_words
+    encode._fresh, encode._fresh_words = lambda w: (asked.extend(w), fresh(w))[1], lambda w: (asked.extend(x.decode() for x in w), small(w))[1]
+    text = "harbour&&& Harbour### harbour... harbour, HARBOUR b52&&& <|endoftext|> <|EndOfText|>... it's!'"
+    assert encode([text.encode()]) == [np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert len(asked) == len(set(asked)) and {"harbour", "&&&", "###", "...", ",", "b52", "it's", "!'"} <= set(asked) and "harbour&&&" not in asked
