@@ -128,3 +128,35 @@ def test_simhash_pairs_equal_brute_force(spark):
     links = [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4]
     got = [(r["u"], r["v"]) for r in sh.simhash_pairs(rows).collect()]
     assert all(u < v for u, v in got) and roots(len(prints), got) == roots(len(prints), links)
+
+
+def test_rows_of_a_group_grow_with_its_texts_not_its_pairs(spark, monkeypatch):
+    """Copies of one text that are almost similar to each other: each pair of them passes most sketches, and few are linked."""
+    rng = random.Random(31)
+    base = [f"w{i}" for i in range(1500)]
+
+    def edited(words, count):
+        near = list(words)
+        for at in rng.sample(range(1500), count):
+            near[at] = f"x{rng.randrange(10**9)}"
+        return near
+
+    words = [edited(base, 20) for _ in range(80)]
+    words += [edited(w, 5) for w in words[::8]]
+    sets = [slow_set(" ".join(w)) for w in words]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    made = []
+
+    def counted(df, name, f=sh.materialise):
+        out = f(df, name)
+        made.append((name, out.count() if name in ("candidates", "units", "similar") else 0))
+        return out
+
+    monkeypatch.setattr(sh, "materialise", counted)
+    monkeypatch.setattr(sh, "BLOCK", 8, raising=False)
+    got = {r["id"]: r["component"] for r in sh.similar_groups(rows).collect()}
+    want = roots(len(sets), links)
+    assert got == dict(enumerate(want)) and 20 < len(set(want)) < len(sets)
+    # A class may enter a few units. As rows, pairs across components were 3046 here.
+    assert max(count for _, count in made) <= 4 * len(sets), made
