@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import materialise, ship, type_of, worker_memory
+from heddle.llm.common import give_back, materialise, ship, type_of, worker_memory
 from heddle.llm.components import components
 from heddle.llm.simhash_dedup import RADIUS, fingerprint_links, majority
 
@@ -337,8 +337,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     share = min(1.0, sample / max(1, docs.count()))
     drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) <= share * (1 << 40)).select("text").distinct()
     often = drawn.mapInArrow(lambda b: _sample_batches(b, size), "key long").groupBy("key").count().where("count > 1")
-    common = [r["key"] for r in often.orderBy(F.desc("count"), "key").limit(COMMON).collect()]
-    shared = spark.sparkContext.broadcast(np.sort(np.array(common, np.int64).view(np.uint64)))
+    common = often.orderBy(F.desc("count"), "key").limit(COMMON).select("key").toArrow()["key"].to_numpy()
+    shared = spark.sparkContext.broadcast(np.sort(common.view(np.uint64)))
+    give_back()
 
     rows = docs.mapInArrow(lambda b: _prefix_batches(b, shared, size, similarity), f"id {type_of(df, id_col)}, class long, n int, prefix binary, bits binary, fp long, {_NUMBERS}")
     rows = materialise(rows, "prefixes")
